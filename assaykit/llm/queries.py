@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
+    "op3_url_filter": "url_filter",
+    "op7_token_orc": "tokens",
     "op10_mixing": "mixing",
 }
 #: query -> name of its SQL in its module, where SQL can express it.
-SQL = {"op10_mixing": "OP10_SQL"}
+SQL = {"op3_url_filter": "OP3_SQL", "op10_mixing": "OP10_SQL"}
 
 
 def _module(query: str):
