@@ -6,12 +6,14 @@ from importlib import import_module
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
+    "op2_warc": "warc",
     "op3_url_filter": "url_filter",
+    "op5_media": "media",
     "op7_token_orc": "tokens",
     "op10_mixing": "mixing",
 }
 #: query -> name of its SQL in its module, where SQL can express it.
-SQL = {"op3_url_filter": "OP3_SQL", "op10_mixing": "OP10_SQL"}
+SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op10_mixing": "OP10_SQL"}
 
 
 def _module(query: str):
