@@ -62,6 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """From now on, Arrow batches of the session hold no more than this: long texts in batches of
+    the default 10,000 rows could fill a Python worker's memory. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

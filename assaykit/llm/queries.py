@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
+    "op1_quality": "quality",
     "op2_warc": "warc",
     "op3_url_filter": "url_filter",
     "op5_media": "media",
