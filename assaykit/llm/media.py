@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import new_path, table
+from .common import bounded_batches, new_path, table
 
 UNIT, RATE = 64, 8000
 
@@ -217,6 +217,7 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str = "declared_t
     Null or empty media have a null type and no embedded ones. Columns of df with the added names
     are replaced; rows are kept as they are.
     """
+    bounded_batches(df.sparkSession)
     own = [c for c in df.columns if c not in ("sniffed_type", "corrected", "embedded")]
     df = df.select(*own)
     m, d = own.index(media), own.index(declared)
@@ -259,6 +260,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_wav(docs: DataFrame, path: str) -> None:
     """Writes doc_id, n_bytes, declared_type and media: each text's UTF-8 bytes (null: none), with bytes
     0 up to a positive multiple of UNIT, as the samples of an 8-bit WAV file."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs.select("doc_id", "text").mapInArrow(_to_wav, f"doc_id {kind}, n_bytes long, declared_type string, media binary").write.option("compression", "zstd").parquet(path)
 

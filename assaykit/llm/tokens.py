@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import bounded_batches, new_path, table, written
 
 #: Words whose ids a task keeps; beyond it starts afresh.
 CACHE_WORDS = 600_000
 
 
+def _put(a: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """a, or a longer copy of it, with new from position at on."""
+    if at + len(new) > len(a):
+        a = np.concatenate([a, np.zeros(max(len(a), len(new)), a.dtype)])
+    a[at : at + len(new)] = new
+    return a
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps what it has learnt from task to task."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer, each distinct word once.
 
@@ -44,8 +59,8 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.parts = np.zeros(0, np.int32), []
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,10 +79,10 @@ class WordEncoder:
         found += [np.asarray(x, np.int32) for x in self._raw(odd)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.concatenate([np.zeros(0, np.int32), *found])
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.at.update(zip(plain + odd, range(len(self.at), len(self.at) + len(found)), strict=True))
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        n = len(self.at)
+        self.starts, self.lengths = _put(self.starts, n, self.used + np.cumsum(lengths) - lengths), _put(self.lengths, n, lengths)
+        self.flat, self.used = _put(self.flat, self.used, flat), self.used + len(flat)
+        self.at.update(zip(plain + odd, range(n, n + len(found)), strict=True))
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text, then end_id."""
@@ -112,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
@@ -128,6 +143,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
                 )
                 start += int(ends[-1])
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
