@@ -9,8 +9,10 @@ MODULES = {
     "op1_quality": "quality",
     "op2_warc": "warc",
     "op3_url_filter": "url_filter",
+    "op4_licenses": "licenses",
     "op5_media": "media",
     "op7_token_orc": "tokens",
+    "op8_decontamination": "decontamination",
     "op10_mixing": "mixing",
 }
 #: query -> name of its SQL in its module, where SQL can express it.
