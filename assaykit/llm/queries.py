@@ -13,6 +13,7 @@ MODULES = {
     "op5_media": "media",
     "op7_token_orc": "tokens",
     "op8_decontamination": "decontamination",
+    "op9_minhash": "minhash",
     "op10_mixing": "mixing",
 }
 #: query -> name of its SQL in its module, where SQL can express it.
