@@ -11,13 +11,14 @@ MODULES = {
     "op3_url_filter": "url_filter",
     "op4_licenses": "licenses",
     "op5_media": "media",
+    "op6_substrings": "substrings",
     "op7_token_orc": "tokens",
     "op8_decontamination": "decontamination",
     "op9_minhash": "minhash",
     "op10_mixing": "mixing",
 }
 #: query -> name of its SQL in its module, where SQL can express it.
-SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op10_mixing": "OP10_SQL"}
+SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL"}
 
 
 def _module(query: str):
