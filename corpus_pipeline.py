@@ -30,9 +30,9 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or twice."""
-    taken = mixing.mix(docs).where("copies > 0")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return taken.withColumn("copies", copies).select(*docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole"))
+    taken = mixing.mix(whole).where("copies > 0")
+    return taken.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
