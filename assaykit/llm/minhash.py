@@ -8,9 +8,10 @@ with the probability sum(min) / sum(max). Points are made in order of time only
 component can fall any more.
 
 Classes: exact copies are one representative. Representatives that agree in a band share a
-bucket; each is compared with the bucket's first one, and links that are verified on the
-multisets give classes. What is left are pairs of different classes in one bucket: these are
-compared block by block on short sketches, and verified where the estimate is near enough.
+bucket; each is compared with the first one of all its buckets, then with one of another class,
+and links that are verified on the multisets give classes. What is left are pairs of different
+classes in one bucket: all of these are compared, block by block, on short sketches, and
+verified in their task where the estimate is near enough.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ M = BANDS * ROWS
 #: Share of the sketch's bytes (of M) at which a pair is verified: five standard deviations below THRESHOLD.
 NEAR = 0.65
 #: Members of a bucket in one block of comparisons.
-CHUNK = 2048
+CHUNK = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -190,46 +191,70 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in each (key, i, j), of sketches near enough. Rows come sorted by these."""
-
-    def pairs(group: list[tuple]) -> Iterator[tuple]:
-        i, j = group[0][1:3]
-        if len(group) < 2:
-            return
-        sketch = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), M)
-        label = np.unique([r[5] for r in group], return_inverse=True)[1]
-        part = np.array([r[3] for r in group])
-        for k in range(len(group) - 1):
-            ok = label[k + 1 :] != label[k]
-            if i != j:
-                ok &= part[k + 1 :] != part[k]
-            near = np.flatnonzero(ok)
-            if len(near):
-                near = near[(sketch[k + 1 :][near] == sketch[k]).mean(1) >= NEAR]
-                for x in near:
-                    a, b = group[k][4], group[k + 1 + x][4]
-                    yield (a, b) if a < b else (b, a)
+class _Bags:
+    """Shingle multisets of texts by position, the latest ones kept up to a number of shingles."""
+
+    def __init__(self, texts: list[str], most: int = 300_000):
+        self.texts, self.most, self.size = texts, most, 0
+        self.kept: OrderedDict[int, Counter] = OrderedDict()
+
+    def __getitem__(self, i: int) -> Counter:
+        if i not in self.kept:
+            self.kept[i] = shingles_of(self.texts[i])
+            self.size += len(self.kept[i])
+            while self.size > self.most and len(self.kept) > 2:
+                self.size -= len(self.kept.popitem(last=False)[1])
+        self.kept.move_to_end(i)
+        return self.kept[i]
+
+
+def _links(group: list[tuple]) -> Iterator[tuple]:
+    """Verified links between members (key, i, j, part, rep, class, sketch, keys, text) of different
+    classes in one block of a bucket. A pair is verified in the first bucket that it shares alone."""
+    key, i, j = group[0][:3]
+    sketch = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), M)
+    keys = np.array([r[7] for r in group], np.int64)
+    label = np.unique([r[5] for r in group], return_inverse=True)[1]
+    part = np.array([r[3] for r in group])
+    bags = _Bags([r[8] for r in group])
+    for k in range(len(group) - 1):
+        ok = label[k + 1 :] != label[k]
+        if i != j:
+            ok &= part[k + 1 :] != part[k]
+        near = np.flatnonzero(ok) + k + 1
+        near = near[(sketch[near] == sketch[k]).mean(1) >= NEAR] if len(near) else near
+        if len(near):
+            near = near[keys[k][(keys[near] == keys[k]).argmax(1)] == key]
+        for x in near.tolist():
+            if similarity(bags[k], bags[x]) >= THRESHOLD:
+                a, b = group[k][4], group[x][4]
+                yield (a, b) if a < b else (b, a)
+
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links in each (key, i, j). Rows come sorted by these."""
     group: list[tuple] = []
-    kind = None
+    kind = pa.int64()
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=["a", "b"])
+
     for batch in batches:
-        kind, out = batch.schema.field(4).type, []
+        kind, found = batch.schema.field(4).type, []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][:3] != row[:3]:
-                out += pairs(group)
+                found += _links(group)
                 group = []
             group.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k in (0, 1)], names=["a", "b"])
+        yield out(found)
     if group:
-        out = list(pairs(group))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k in (0, 1)], names=["a", "b"])
+        yield out(list(_links(group)))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: the least doc_id of the document's class of copies and near copies.
 
-    Equal texts are one class (null counts as empty). Different texts are linked at a weighted
+    Equal texts are one class (null counts as empty), as are all texts without words. Different texts are linked at a weighted
     Jaccard similarity of THRESHOLD or more of their word 5-grams, split at ASCII white space
     and otherwise unchanged; classes are closed under links. Repeated rows come back as often;
     a null doc_id belongs to its class but never names it unless the class has no other id.
@@ -245,25 +270,38 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = written(bands.join(shared, F.col("key") == F.col("shared_key")).select("key", "rep", "center"), "near-members")
     sketches = reps.select(F.col("rep").alias("sketch_of"), "sketch")
 
-    stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     of_a, of_b = sketches.select(F.col("sketch_of").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("sketch_of").alias("b"), F.col("sketch").alias("sb"))
-    near = stars.join(of_b, "b").join(of_a, "a").mapInArrow(_near_pairs, f"a {kind}, b {kind}")
-    links = verified(written(near, "near-pairs"), docs)
 
-    roots = components(links)
-    named = members.join(roots, members["rep"] == roots["id"], "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
-    named = written(named, "near-named")
+    def linked(stars: DataFrame) -> DataFrame:
+        near = stars.join(of_b, "b").join(of_a, "a").select("a", "b", "sa", "sb").mapInArrow(_near_pairs, f"a {kind}, b {kind}")
+        return verified(written(near, "near-pairs"), docs)
+
+    def name_classes(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        named = members.join(roots, members["rep"] == roots["id"], "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
+        return written(named, "near-named")
+
+    # one link for each representative: to the first of all its buckets, then to one of another class
+    links = linked(members.where("rep <> center").groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")))
+    named = name_classes(links)
+    leads = named.groupBy("key").agg(F.min(F.struct("class", "rep")).alias("lead"), F.max("class").alias("last")).where("lead.class <> last")
+    leads = written(leads.select(F.col("key").alias("lead_key"), "lead"), "near-leads")
+    other = named.join(leads, F.col("key") == F.col("lead_key")).where("class <> lead.class")
+    links = links.union(linked(other.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a"))))
+    named = name_classes(links)
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
     mixed = written(mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "near-mixed")
-    part = F.pmod(F.hash("rep"), F.col("parts"))
+    met = written(named.join(mixed, named["key"] == mixed["mixed_key"]).select("key", "rep", "class", "parts"), "near-met")
+    texts = docs.select(F.col("doc_id").alias("text_of"), F.col("text"))
+    texts = texts.join(met.select(F.col("rep").alias("id")).distinct(), F.col("text_of") == F.col("id"), "left_semi")
+    whole = texts.join(reps.select(F.col("rep").alias("sketch_of"), "sketch", "keys"), F.col("text_of") == F.col("sketch_of")).drop("sketch_of")
     blocks = (
-        named.join(mixed, named["key"] == mixed["mixed_key"])
-        .withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class")
-        .join(sketches, F.col("rep") == F.col("sketch_of")).drop("sketch_of")
+        met.join(whole, met["rep"] == whole["text_of"])
+        .withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class", "sketch", "keys", "text")
     )
     rest = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, f"a {kind}, b {kind}").distinct()
-    more = verified(written(rest, "near-pairs"), docs)
+    more = written(rest, "near-links")
     roots = components(links.union(more))
     rep_class = reps.join(roots, reps["rep"].eqNullSafe(roots["id"]), "left").select(F.col("digest").alias("of"), F.coalesce("root", "rep").alias("class_id"))
     rep_class = written(rep_class, "near-classes")
@@ -280,11 +318,12 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Of each class the document with the least doc_id, with its columns; of repeated rows with this
-    id one. Documents with a null id stay only where their class has no other."""
-    classes = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    id one. Rows with a null id stay."""
+    classes = near_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = written(classes, "near-kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    known = docs.where(F.col("doc_id").isNotNull())
+    rows = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where(F.col("doc_id").isNull()))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
