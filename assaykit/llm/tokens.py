@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, new_path, table, written
 
 #: Words whose ids a task keeps; beyond it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 
 def _put(a: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
@@ -43,9 +44,11 @@ class WordEncoder:
     """Encodes whole texts with a tokenizer, each distinct word once.
 
     For tokenizers that drop white space and split on it first, the ids of a text are those of
-    its words in turn. Letters-only words (one unit of the tokenizer's split) go to the library
-    by the dozen and are told apart by the end-of-word marks of their last tokens. Texts with
-    special-token marks or control characters that count as space for Python alone go whole.
+    its words in turn. Lower-case ASCII words go to the tokenizer's model, which its normalizer and
+    byte mapping leave as they are; other letters-only words (one unit of its split) go to it by the
+    dozen and are told apart by the end-of-word marks of their last tokens; a full stop or
+    comma after a letter is a unit of its own. Texts with special-token marks or control
+    characters that count as space for Python alone go to the library whole.
     """
 
     def __init__(self, path: str, end_of_word: str = "</w>"):
@@ -59,63 +62,73 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain, odd = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        found: list[np.ndarray] = []
-        groups = [plain[i : i + 50] for i in range(0, len(plain), 50)]
-        for group, ids in zip(groups, self._raw([" ".join(g) for g in groups]), strict=True):
-            ids = np.asarray(ids, np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                found += np.split(ids, cuts[:-1])
-            else:
-                found += [np.asarray(x, np.int32) for x in self._raw(group)]
-        found += [np.asarray(x, np.int32) for x in self._raw(odd)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.zeros(0, np.int32), *found])
+    def _store(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.at)
         self.starts, self.lengths = _put(self.starts, n, self.used + np.cumsum(lengths) - lengths), _put(self.lengths, n, lengths)
         self.flat, self.used = _put(self.flat, self.used, flat), self.used + len(flat)
-        self.at.update(zip(plain + odd, range(n, n + len(found)), strict=True))
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _store_lists(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._store(words, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
-        """Ids of each text, then end_id."""
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stored words in turn, and the number of each."""
+        n = self.lengths[at].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)], n
+
+    def _learn(self, words: list[str]) -> None:
+        marked = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
+        units = set(words).difference(marked).union(w[:-1] for w in marked).union(".,")
+        units = sorted(units.difference(self.at))
+        letters = [w for w in units if w.isascii() and w.isalpha() and w.islower()]  # as they are for the model itself
+        model = self.tokenizer.model
+        self._store_lists(letters, [[t.id for t in model.tokenize(w)] for w in letters])
+        units = sorted(set(units).difference(letters))
+        plain, odd = [w for w in units if w.isalpha()], [w for w in units if not w.isalpha()]
+        ids = self._raw([" ".join(plain[i : i + 50]) for i in range(0, len(plain), 50)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) == len(plain):
+            self._store(plain, flat, np.diff(cuts, prepend=0))
+        else:
+            self._store_lists(plain, self._raw(plain))
+        self._store_lists(odd, self._raw(odd))
+        pairs = np.array([k for w in marked for k in (self.at[w[:-1]], self.at[w[-1]])], np.int64)
+        flat, n = self._gather(pairs)
+        self._store(marked, flat, n.reshape(-1, 2).sum(1))
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end_id behind it, and the number of them for each text."""
         if len(self.at) > CACHE_WORDS:
             self.clear()
-        tail = [] if end_id is None else [end_id]
-        split, new = [], {}
+        if "" not in self.at:
+            self._store_lists([""], [[] if end_id is None else [end_id]])
+        words, bounds = [], [0]
         for text in texts:
             if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                split.append(None)
-                continue
-            units = []
-            for w in (text.lower() if text.isascii() else text).split():
-                if w[-1] in ".," and w[-2:-1].isalpha():
-                    units += (w[:-1], w[-1])
-                else:
-                    units.append(w)
-            split.append(units)
-            new.update(dict.fromkeys(w for w in units if w not in self.at))
-        if new:
-            self._learn(list(new))
-        out = []
-        for text, units in zip(texts, split, strict=True):
-            if units is None:
-                out.append(np.asarray(self._raw([text])[0] + tail, np.int32))
-                continue
-            at = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
-            out.append(np.concatenate([ids, np.asarray(tail, np.int32)]))
-        return out
+                key = " " + text  # no word has a space
+                if key not in self.at:
+                    self._store_lists([key], self._raw([text]))
+                words.append(key)
+            else:
+                words += (text.lower() if text.isascii() else text).split()
+            words.append("")
+            bounds.append(len(words))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.at[words[i]] for i in missing]
+        ids, n = self._gather(at)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -131,13 +144,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in piece.column(1).to_pylist()], end_id)
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids, n = encoder.encode([t or "" for t in piece.column(1).to_pylist()], end_id)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends - n), pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids))),
+                        piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)),
                     ],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
