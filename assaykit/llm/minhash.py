@@ -293,7 +293,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     mixed = written(mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "near-mixed")
     met = written(named.join(mixed, named["key"] == mixed["mixed_key"]).select("key", "rep", "class", "parts"), "near-met")
     texts = docs.select(F.col("doc_id").alias("text_of"), F.col("text"))
-    texts = texts.join(met.select(F.col("rep").alias("id")).distinct(), F.col("text_of") == F.col("id"), "left_semi")
+    texts = texts.join(written(met.select(F.col("rep").alias("id")).distinct(), "near-ids"), F.col("text_of") == F.col("id"), "left_semi")
     whole = texts.join(reps.select(F.col("rep").alias("sketch_of"), "sketch", "keys"), F.col("text_of") == F.col("sketch_of")).drop("sketch_of")
     blocks = (
         met.join(whole, met["rep"] == whole["text_of"])
