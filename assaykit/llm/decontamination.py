@@ -143,6 +143,17 @@ class Bm25Index:
         return found
 
 
+_latest: dict[int, Bm25Index] = {}
+
+
+def _index_of(number: int, items) -> Bm25Index:
+    """The index of a broadcast list of items, which a worker process keeps from task to task until it gets another one."""
+    if number not in _latest:
+        _latest.clear()
+        _latest[number] = Bm25Index(items.value)
+    return _latest[number]
+
+
 MATCH = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
 
 
@@ -168,15 +179,14 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matche
     return docs
 
 
-
 def _probe(docs: DataFrame, items, name: str, more: bool) -> DataFrame:
     """Adds the matches of one index; with more, to those that are there."""
-    own = [c for c in docs.columns if c != name]
+    own, number = [c for c in docs.columns if c != name], items._jbroadcast.id()
     text, before = docs.columns.index("text"), docs.columns.index(name) if more else -1
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Bm25Index(items.value)
+        index = _index_of(number, items)
         for batch in batches:
             out = []
             for i, t in enumerate(batch.column(text).to_pylist()):
