@@ -8,8 +8,9 @@ this order until the source's remaining words are reached (the last one only if
 sum nearer).
 
 The cut in that order is found without sorting a source in one task: scores fall into
-``BUCKETS`` equal steps of q / (1 + q), a small histogram per source gives the step that holds
-the cut, and only the rows of that step are put in order.
+``BUCKETS`` equal steps of q / (1 + q), a histogram per source gives the step that holds the cut,
+first among coarse steps of ``COARSE`` steps each and then within one, and only the rows of that
+step are put in order.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table, word_count, written
 
-BUCKETS = 65536
+BUCKETS, COARSE = 65536, 256
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -105,20 +106,29 @@ def _copies(rows: DataFrame, cuts: DataFrame, most: int) -> DataFrame:
     return joined.withColumn("copies", (F.col("certain") + more).cast("long"))
 
 
+def _last_step(rows: DataFrame, key: str) -> DataFrame:
+    """source, step: the last step that begins before the words of rest are reached, with the words before it."""
+    earlier = W.partitionBy("source").orderBy(F.col(key).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    words = F.when(F.col(key).isNotNull(), F.col("words"))
+    return (
+        rows.withColumn("before", F.col("base") + F.coalesce(F.sum(words).over(earlier), F.lit(0)))
+        .where(F.col(key).isNotNull() & (F.col("before") < F.col("rest")))
+        .groupBy("source").agg(F.max_by(F.struct(key, "before", "rest"), key).alias("step"))
+    )
+
+
 def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
     """For each source its target and its cut: the last place taken."""
     goal = written(targets(narrow.withColumn("mass", F.col("size") * F.col("doc_weight")), weights, share, most), "mix-targets").withColumnsRenamed({"source": "cut_source", "mass": "mass_sum"})
     scored = _scored(narrow.join(goal, narrow["source"].eqNullSafe(goal["cut_source"])), most)
     histogram = scored.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-    in_order = W.partitionBy("source").orderBy(F.col("bucket").asc_nulls_first())
-    whole = W.partitionBy("source")
-    step = (
-        histogram.withColumn("rest", F.col("target") - F.sum("sure").over(whole))
-        .withColumn("before", F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("words"))).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .where(F.col("bucket").isNotNull() & (F.col("before") < F.col("rest")))
-        .groupBy(F.col("source").alias("step_source"))
-        .agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("step"))
-    )
+    histogram = written(histogram.withColumn("coarse", F.floor(F.col("bucket") / COARSE)), "mix-histogram")
+    coarse = histogram.groupBy("source", "coarse").agg(F.sum("words").alias("words"), F.sum("sure").alias("sure"), F.max("target").alias("target"))
+    coarse = coarse.withColumn("rest", F.col("target") - F.sum("sure").over(W.partitionBy("source"))).withColumn("base", F.lit(0).cast("long"))
+    wide = written(_last_step(coarse, "coarse").select(F.col("source").alias("wide_source"), "step"), "mix-wide-steps")
+    fine = histogram.join(wide, histogram["source"].eqNullSafe(wide["wide_source"]) & (histogram["coarse"] == F.col("step.coarse")))
+    fine = fine.select("source", "bucket", "words", F.col("step.before").alias("base"), F.col("step.rest").alias("rest"))
+    step = _last_step(fine, "bucket").withColumnRenamed("source", "step_source")
     step = written(step, "mix-steps")
     edge = scored.join(step, scored["source"].eqNullSafe(step["step_source"]) & (scored["bucket"] == F.col("step.bucket")))
     sorted_edge = W.partitionBy("source").orderBy("q", "doc_id", "size")
