@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import col
+from ..sources.io import scratch
 
 #: USD per 1M input and output tokens by model, and of any other model.
 PRICES = [
@@ -44,11 +45,15 @@ def running_total(calls: DataFrame, order: list[str], run: str | None = None, am
 
     Within each run, or over all calls: then calls are dealt out in ranges of the order, summed
     within each range, and the sums of the ranges before are added; no task sees all calls.
+    The dealt calls are written once: each plan that reads them would else sample ranges of its own.
     Rows that tie in the order are summed together.
     """
     if run is not None:
         return calls.withColumn("running", F.sum(amount).over(W.partitionBy(run).orderBy(*order).rangeBetween(W.unboundedPreceding, 0) if len(order) == 1 else W.partitionBy(run).orderBy(*order)))
+    path = scratch(calls.sparkSession, "dealt")
     dealt = calls.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = calls.sparkSession.read.schema(dealt.schema).parquet(path)
     dealt = dealt.withColumn("within", F.sum(amount).over(W.partitionBy("part").orderBy(*order)))
     sums = dealt.groupBy("part").agg(F.sum(amount).alias("total"))
     before = sums.select(F.col("part").alias("of"), F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))

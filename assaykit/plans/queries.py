@@ -6,9 +6,6 @@ what they normalize to. So it checks parsing, scoring and rollups at once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +14,7 @@ from ..functions import formtext
 from ..functions import normalize as N
 from ..operators import metrics, routing, scoring, stability, usage, worklist
 from ..sources import io, validate
+from ..sources.io import scratch
 from ..sources.schemas import ALL_FIELDS, AMOUNT_FIELDS, CONDITIONS, DATE_FIELDS, EXTRACTION, N_RUNS, RAW_EXTRACTION, RUNS, SCALAR_FIELDS, TIERS
 from ..streaming import ingest
 from . import fixtures
@@ -149,16 +147,6 @@ def _round_sql(body: str, columns: str) -> str:
     return f"{body} SELECT {columns}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.gettempdir() + "/assaykit"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 

@@ -100,6 +100,14 @@ def test_cost_and_cap(spark):
     assert {r.n: r.status for r in usage.spend_audit(charges, 2.25, ["n"]).collect()} == {0: "charged", 1: "charged", 2: "invalid", 3: "tripped", 4: "skipped"}
 
 
+def test_running_total_beyond_the_range_sample(spark):
+    calls = spark.range(0, 100_000, 1, 8).select("id", (F.col("id") * 48_271 % 100_003).alias("at"), (F.col("id") % 7).alias("cost"))
+    want, total = {}, 0
+    for r in sorted(calls.collect(), key=lambda r: r["at"]):
+        want[r.id] = total = total + r.cost
+    assert {r.id: r.running for r in usage.running_total(calls, ["at"]).collect()} == want
+
+
 def test_rate_across_hours(spark):
     calls = spark.sql("select id, 'p' as provider, timestamp_seconds(3590 + id * 10) as ts from range(8)")
     assert [r.in_window for r in usage.rate_audit(calls, 5).orderBy("id").collect()] == [1, 2, 3, 4, 5, 6, 6, 6]
