@@ -43,21 +43,25 @@ def spend(calls: DataFrame) -> DataFrame:
 def running_total(calls: DataFrame, order: list[str], run: str | None = None, amount: str = "cost", parts: int = 64) -> DataFrame:
     """calls with running: the sum of amount up to and with the call, in the given order.
 
-    Within each run, or over all calls: then calls are dealt out in ranges of the order, summed
-    within each range, and the sums of the ranges before are added; no task sees all calls.
-    The dealt calls are written once: each plan that reads them would else sample ranges of its own.
-    Rows that tie in the order are summed together.
+    Within each run, or over all calls. Calls are dealt out in ranges of run and order, summed
+    within each range, and the sums of the run's ranges before are added; no task sees all calls
+    of a run. The dealt calls are written once: each plan that reads them would else sample ranges
+    of its own. Rows that tie in the order are summed together; null amounts count nothing.
     """
-    if run is not None:
-        return calls.withColumn("running", F.sum(amount).over(W.partitionBy(run).orderBy(*order).rangeBetween(W.unboundedPreceding, 0) if len(order) == 1 else W.partitionBy(run).orderBy(*order)))
+    runs = [] if run is None else [run]
     path = scratch(calls.sparkSession, "dealt")
-    dealt = calls.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = calls.repartitionByRange(parts, *runs, *order).withColumn("part", F.spark_partition_id())
     dealt.write.parquet(path)
     dealt = calls.sparkSession.read.schema(dealt.schema).parquet(path)
-    dealt = dealt.withColumn("within", F.sum(amount).over(W.partitionBy("part").orderBy(*order)))
-    sums = dealt.groupBy("part").agg(F.sum(amount).alias("total"))
-    before = sums.select(F.col("part").alias("of"), F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    return dealt.join(before, F.col("part") == F.col("of")).withColumn("running", F.col("within") + F.col("before")).drop("part", "within", "of", "before")
+    sums = dealt.groupBy(*runs, "part").agg(F.sum(amount).alias("total"))
+    earlier = W.partitionBy(*runs).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(F.col("part").alias("of"), *[F.col(r).alias("of_run") for r in runs], F.sum("total").over(earlier).alias("before"))
+    dealt = dealt.withColumn("within", F.sum(amount).over(W.partitionBy(*runs, "part").orderBy(*order)))
+    same = F.col("part") == F.col("of")
+    for r in runs:
+        same &= F.col(r).eqNullSafe(F.col("of_run"))
+    running = F.coalesce(F.col("within") + F.col("before"), "within", "before")
+    return dealt.join(before, same).withColumn("running", running).drop("part", "within", "of", "of_run", "before")
 
 
 def spend_audit(calls: DataFrame, cap: float, order: list[str], run: str | None = None) -> DataFrame:

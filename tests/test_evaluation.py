@@ -108,6 +108,20 @@ def test_running_total_beyond_the_range_sample(spark):
     assert {r.id: r.running for r in usage.running_total(calls, ["at"]).collect()} == want
 
 
+def test_running_total_of_a_large_run(spark):
+    run = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 > 0, F.col("id") % 50)
+    calls = spark.range(0, 30_000, 1, 8).select("id", run.alias("run"), (F.col("id") * 4_827 % 30_011).alias("at"), F.when(F.col("id") % 11 > 0, F.col("id") % 7).alias("cost"))
+    want, totals = {}, {}
+    for r in sorted(calls.collect(), key=lambda r: r["at"]):
+        if r.cost is not None:
+            totals[r.run] = totals.get(r.run, 0) + r.cost
+        want[r.id] = totals.get(r.run)
+    got = usage.running_total(calls, ["at"], "run")
+    assert {r.id: r.running for r in got.collect()} == want
+    assert "windowspecdefinition(run#" in (plan := got._jdf.queryExecution().optimizedPlan().toString())
+    assert all("part#" in x.split("]")[0] for x in plan.split("windowspecdefinition(")[1:])  # no window over a whole run's calls
+
+
 def test_rate_across_hours(spark):
     calls = spark.sql("select id, 'p' as provider, timestamp_seconds(3590 + id * 10) as ts from range(8)")
     assert [r.in_window for r in usage.rate_audit(calls, 5).orderBy("id").collect()] == [1, 2, 3, 4, 5, 6, 6, 6]
