@@ -76,8 +76,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """docs with the columns size, source_size, target and copies (0 to ``most``) added.
 
     Sizes are words. A null or empty text has size 0: it keeps its certain copies, which add no
-    words, and gets no more. A null source is a source of its own. Repeated rows (same id and
-    size) are taken or left together. Columns of docs that have the added names are replaced;
+    words, and gets no more. A null source is a source of its own. Of repeated rows (same source,
+    id and size) at the cut as many are taken as fit, whichever they are. Columns of docs that have the added names are replaced;
     other extra columns stay. weight_col, if given, names a non-negative weight of each document
     within its source (null: 0); a document whose wanted copies would exceed ``most`` stays
     there. keep_rows=False returns doc_id, source and the added columns alone, without a second
@@ -103,7 +103,20 @@ def _copies(rows: DataFrame, cuts: DataFrame, most: int) -> DataFrame:
     joined = _scored(rows.join(c, rows["source"].eqNullSafe(c["cut_source"]), "left"), most)
     place = F.struct(F.col("q"), F.col("doc_id"), F.col("size"))
     more = F.when(F.col("q").isNotNull() & F.col("cut").isNotNull() & (place <= F.col("cut")), 1).otherwise(0)
-    return joined.withColumn("copies", (F.col("certain") + more).cast("long"))
+    decided = joined.withColumn("copies", (F.col("certain") + more).cast("long"))
+    if cuts.where("n_last < n_tied").isEmpty():
+        return decided
+    split = F.col("q").isNotNull() & F.coalesce(F.col("n_last") < F.col("n_tied"), F.lit(False)) & F.coalesce(place == F.col("cut"), F.lit(False))
+    # the tied rows are numbered by the task that wrote them, and within it
+    tied = written(decided.where(split).withColumn("task", F.spark_partition_id()), "mix-tied")
+    earlier = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    counts = tied.groupBy("source", "task").agg(F.count("*").alias("n")).select(
+        F.col("source").alias("n_source"), F.col("task").alias("n_task"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before")
+    )
+    numbered = tied.withColumn("number", F.row_number().over(W.partitionBy("source", "task").orderBy("u")))
+    numbered = numbered.join(counts, numbered["source"].eqNullSafe(counts["n_source"]) & (numbered["task"] == counts["n_task"]))
+    copies = (F.col("certain") + F.when(F.col("number") + F.col("n_before") <= F.col("n_last"), 1).otherwise(0)).cast("long")
+    return decided.where(~split).unionByName(numbered.withColumn("copies", copies).select(*decided.columns))
 
 
 def _last_step(rows: DataFrame, key: str) -> DataFrame:
@@ -118,7 +131,7 @@ def _last_step(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
-    """For each source its target and its cut: the last place taken."""
+    """For each source its target and its cut: the last place taken, with how many of the rows that tie there (n_last of n_tied)."""
     goal = written(targets(narrow.withColumn("mass", F.col("size") * F.col("doc_weight")), weights, share, most), "mix-targets").withColumnsRenamed({"source": "cut_source", "mass": "mass_sum"})
     scored = _scored(narrow.join(goal, narrow["source"].eqNullSafe(goal["cut_source"])), most)
     histogram = scored.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("target"))
@@ -131,13 +144,17 @@ def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) ->
     step = _last_step(fine, "bucket").withColumnRenamed("source", "step_source")
     step = written(step, "mix-steps")
     edge = scored.join(step, scored["source"].eqNullSafe(step["step_source"]) & (scored["bucket"] == F.col("step.bucket")))
+    # rows that tie count as one place; i of them fit while i * size - size / 2 is below the words left
+    edge = edge.where(F.col("q").isNotNull()).groupBy("source", "q", "doc_id", "size").agg(F.count("*").alias("n_tied"), F.first("step").alias("step"))
     sorted_edge = W.partitionBy("source").orderBy("q", "doc_id", "size")
-    upto = F.sum("size").over(sorted_edge.rowsBetween(W.unboundedPreceding, W.currentRow))
+    earlier = F.sum(F.col("size") * F.col("n_tied")).over(sorted_edge.rowsBetween(W.unboundedPreceding, -1))
+    left = F.col("step.rest") - F.col("step.before") - F.col("earlier")
     taken = (
-        edge.withColumn("upto", upto)
-        .where(F.col("upto") - F.col("size") / 2 < F.col("step.rest") - F.col("step.before"))
+        edge.withColumn("earlier", F.coalesce(earlier, F.lit(0)))
+        .where(F.col("earlier") + F.col("size") / 2 < F.col("step.rest") - F.col("step.before"))
+        .withColumn("n_last", F.greatest(F.lit(1), F.least(F.col("n_tied"), F.ceil(left / F.col("size") + 0.5) - 1)))
         .groupBy(F.col("source").alias("last_source"))
-        .agg(F.max(F.struct("q", "doc_id", "size")).alias("last"))
+        .agg(F.max(F.struct("q", "doc_id", "size")).alias("last"), F.max_by(F.struct("n_last", "n_tied"), F.struct("q", "doc_id", "size")).alias("tie"))
     )
     # no row of the step may fit: then the cut lies just below it
     cuts = (
@@ -149,6 +166,7 @@ def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) ->
                 F.col("last"),
                 F.when(F.col("step").isNotNull(), F.struct((F.col("step.bucket") / (F.lit(float(BUCKETS)) - F.col("step.bucket"))).alias("q"), F.lit(None).cast(narrow.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("size"))),
             ).alias("cut"),
+            "tie.n_last", "tie.n_tied",
         )
     )
     return written(cuts, "mix-cuts")

@@ -158,6 +158,17 @@ def test_mixing(spark, clashing, docs):
     assert weighted[4] == 0
 
 
+def test_mixing_of_ties(spark):
+    rows = [(i if s != "b" else None if i % 3 else 7, f"x y z {s}" + " w" * (i % 2), s, i) for s in "abc" for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    for got in (mixing.mix(docs).collect(), mixing.mix(docs, keep_rows=False).collect()):
+        assert len(got) == len(rows)
+        for s in "abc":
+            assert abs(sum(r.copies * r.size for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 2.5
+    whole = mixing.mix(docs).collect()
+    assert sorted((r.source, r.n) for r in whole) == sorted((r[2], r[3]) for r in rows)
+
+
 def test_pipeline_columns(spark, clashing, tmp_path):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
