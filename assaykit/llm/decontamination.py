@@ -13,7 +13,7 @@ items are verified by their word n-grams around the passage, for question and an
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, written
 
 THETA, GRAM, LEAST_PASSAGE = 0.35, 3, 64
 #: Items in a block, and cells (terms x blocks) of the table of block maxima; beyond, blocks are larger.
@@ -57,17 +57,22 @@ def question_answer(text: str | None, answer: str | None = None) -> tuple[list[b
 
 
 class Bm25Index:
-    """items: (id, question words, answer words). Items without words are left out."""
+    """items: (id, question words, answer words). Items without words are left out.
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]]):
+    overall, if these are a part of all items, has for all of them: how many, their mean length, the
+    longest, and in how many items each word of the part is.
+    """
+
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], overall: tuple[int, float, int, dict[bytes, int]] | None = None):
         items = [x for x in items if x[1] or x[2]]
         self.ids = [x[0] for x in items]
         self.question, self.answer = [grams(x[1]) for x in items], [grams(x[2]) for x in items]
         counts = [Counter(x[1] + x[2]) for x in items]
         lengths = [sum(c.values()) for c in counts]
-        self.longest, mean = max(lengths, default=0), sum(lengths) / max(1, len(lengths))
-        df = Counter(w for c in counts for w in c)
-        idf = {w: log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        if overall is None:
+            overall = len(items), sum(lengths) / max(1, len(lengths)), max(lengths, default=0), Counter(w for c in counts for w in c)
+        n_items, mean, self.longest, df = overall
+        idf = {w: log(1 + (n_items - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for i, (c, n) in enumerate(zip(counts, lengths, strict=True)):
             own = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
@@ -150,7 +155,7 @@ def _index_of(number: int, items) -> Bm25Index:
     """The index of a broadcast list of items, which a worker process keeps from task to task until it gets another one."""
     if number not in _latest:
         _latest.clear()
-        _latest[number] = Bm25Index(items.value)
+        _latest[number] = Bm25Index(*items.value)
     return _latest[number]
 
 
@@ -163,7 +168,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matche
 
     Null or empty texts match nothing, nor do items without words; an empty benchmark matches
     nothing. Items with the same id are looked for each. Items are gathered in indexes of at most
-    MAX_INDEX_BYTES.
+    MAX_INDEX_BYTES; all of them share the statistics of all items.
     """
     bounded_batches(docs.sparkSession)
     answer = "answer" in benchmark.columns
@@ -172,13 +177,32 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matche
     parts = max(1, -(-size // MAX_INDEX_BYTES))
     own = [c for c in docs.columns if c != name]
     docs = docs.select(*own)
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    overall = _statistics(items, answer) if parts > 1 else lambda k: None
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast([(r.item_id, *question_answer(r.text, r.answer if answer else None)) for r in rows])
+        rows = items.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        index = docs.sparkSession.sparkContext.broadcast(([(r.item_id, *question_answer(r.text, r.answer if answer else None)) for r in rows], overall(k)))
         docs = _probe(docs, index, name, k > 0)
     return docs
 
 
+def _statistics(items: DataFrame, answer: bool) -> Callable[[int], tuple[int, float, int, dict[bytes, int]]]:
+    """part -> the statistics of all items that its index needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, answers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            words = [sum(question_answer(t, a), []) for t, a in zip(texts, answers, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([list(set(w)) for w in words], pa.list_(pa.binary()))], names=["part", "length", "words"])
+
+    rows = items.select("part", "text", F.col("answer") if answer else F.lit(None).cast("string").alias("answer"))
+    counted = written(rows.mapInArrow(run, "part int, length long, words array<binary>").where("length > 0"), "items-words")
+    n, mean, longest = counted.agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    df = counted.select("part", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"))
+    df = written(df, "items-frequencies")
+    return lambda k: (n, mean or 0.0, longest or 0, {bytes(r.word): r.n for r in df.where(F.array_contains("parts", k)).collect()})
+
+
 def _probe(docs: DataFrame, items, name: str, more: bool) -> DataFrame:
     """Adds the matches of one index; with more, to those that are there."""
     own, number = [c for c in docs.columns if c != name], items._jbroadcast.id()

@@ -138,6 +138,16 @@ def test_decontamination(spark, clashing):
     assert alone[1][0].question_overlap == 1.0 and alone[1][0].answer_overlap == 0.0
 
 
+def test_split_index_keeps_scores(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i * i * k * k % (41 + i)}" for k in range(2, 14 + 3 * i))) for i in range(1, 13)]
+    docs = spark.createDataFrame([(i, t.rsplit(" ", 4)[0] + f" w1 w2 w{i}") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {r.doc_id: [(m.item_id, round(m.score, 9), m.question_overlap) for m in r["matches"]] for r in decontamination.benchmark_matches(docs, bench).collect()}
+    whole = found()
+    monkeypatch.setattr(decontamination, "MAX_INDEX_BYTES", 500)
+    assert found() == whole and sum(map(len, whole.values())) > 5
+
+
 def test_minhash(spark, clashing):
     got = {r.doc_id: r.class_id for r in minhash.near_classes(clashing).collect()}
     assert got[1] == got[5] == 1 and got[2] == got[3] == got[7] == 2 and got[6] == 6 and got[4] == 4
