@@ -7,7 +7,9 @@ block; blocks where the sum of these over the passage's terms stays below THETA
 all passages of a document at once, and items of the others are scored until the terms left
 cannot lift them to THETA. Passages are half-overlapping windows at least as long as the longest
 item, so one of them holds half of the weight of any item that stands in a text. Retrieved
-items are verified by their word n-grams around the passage, for question and answer.
+items are verified by their word n-grams around the passage, for question and answer. An item
+whose question has so little of its weight that a text with the question alone could stay below
+THETA is also retrieved by the question's own weight.
 """
 
 from __future__ import annotations
@@ -47,6 +49,13 @@ def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
 
 
+def share(sought: set[tuple[bytes, ...]], near: set[tuple[bytes, ...]], around: list[bytes]) -> float:
+    """Share of the grams sought that are near; a text shorter than a gram must stand in the words around."""
+    if len(sought) == 1 and len(short := next(iter(sought))) < GRAM:
+        return float(any(tuple(around[i : i + len(short)]) == short for i in range(len(around) - len(short) + 1)))
+    return len(sought & near) / max(1, len(sought))
+
+
 def question_answer(text: str | None, answer: str | None = None) -> tuple[list[bytes], list[bytes]]:
     """Words of the question and of the answer; without an answer of its own, the last quarter of the text is it."""
     words = words_of(text)
@@ -74,14 +83,20 @@ class Bm25Index:
         n_items, mean, self.longest, df = overall
         idf = {w: log(1 + (n_items - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        self.item = list(range(len(items)))  # of each entry of the postings; questions alone come after the items
         for i, (c, n) in enumerate(zip(counts, lengths, strict=True)):
-            own = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
-            total = sum(own.values())
+            weigh = lambda c: {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}  # noqa: B023, E731
+            own, alone = weigh(c), weigh(Counter(items[i][1]))
+            total, of_question = sum(own.values()), sum(alone.values())
             for w, x in own.items():
                 lists[w].append((i, x / total))
+            if items[i][2] and 0 < of_question < 2 * THETA * total:  # a passage may hold only half of it
+                for w, x in alone.items():
+                    lists[w].append((len(self.item), x / of_question))
+                self.item.append(i)
         self.term = {w: t for t, w in enumerate(lists)}
-        self.block = max(BLOCK, -(-len(items) * len(lists) // MAX_CELLS))
-        self.tops = np.zeros((len(lists), -(-len(items) // self.block)), np.float32)
+        self.block = max(BLOCK, -(-len(self.item) * len(lists) // MAX_CELLS))
+        self.tops = np.zeros((len(lists), -(-len(self.item) // self.block)), np.float32)
         self.postings: list[dict[int, list[tuple[int, float]]]] = []
         for t, found in enumerate(lists.values()):
             by_block: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -91,7 +106,7 @@ class Bm25Index:
             self.postings.append(dict(by_block))
 
     def search(self, terms: list[int], blocks: list[int], theta: float) -> list[tuple[int, float]]:
-        """(item, score) of the items of these blocks with a score of theta or more."""
+        """(entry, score) of the entries of these blocks with a score of theta or more."""
         out, eps = [], theta - 1e-6
         for b in blocks:
             lists = [p for t in terms if (p := self.postings[t].get(b))]
@@ -138,10 +153,12 @@ class Bm25Index:
         """item -> (score, question overlap, answer overlap) of verified items; the best passage of each counts."""
         found: dict[int, tuple[float, float, float]] = {}
         for first, hits in self.retrieve(words):
-            near = grams(words[max(0, first - self.half) : first + 3 * self.half])
-            for i, score in hits:
+            around = words[max(0, first - self.half) : first + 3 * self.half]
+            near = grams(around)
+            for entry, score in hits:
+                i = self.item[entry]
                 q, x = self.question[i], self.answer[i]
-                of_q, of_a = len(q & near) / max(1, len(q)), len(x & near) / max(1, len(x))
+                of_q, of_a = share(q, near, around), share(x, near, around)
                 sure = of_q >= ALONE or (of_q >= BOTH or not q) and (of_a >= BOTH or not x)
                 if sure and (i not in found or (of_q + of_a, score) > (sum(found[i][1:]), found[i][0])):
                     found[i] = (score, of_q, of_a)

@@ -138,6 +138,17 @@ def test_decontamination(spark, clashing):
     assert alone[1][0].question_overlap == 1.0 and alone[1][0].answer_overlap == 0.0
 
 
+def test_short_answers_and_questions_alone():
+    of = lambda text, *items: {i: m[1:] for i, m in decontamination.Bm25Index([(0, *decontamination.question_answer(*x)) for x in items]).matches(decontamination.words_of(text)).items()}
+    others = [("what is the tallest mountain on earth", "Everest"), ("unrelated words stand here for others", "nothing much")]
+    asked = ("what is the capital city of the country named France", "Paris")
+    assert of("so the capital city of the country is Paris of course", asked, *others)[0][1] == 1.0
+    assert 0 not in of("so the capital city of the country is Rome of course", asked, *others)
+    assert of("it is blue whale said he", ("blue whale", ""), *others)[0][0] == 1.0 and not of("a whale is blue", ("blue whale", ""))
+    heavy = ("who wrote the book", " ".join(f"answer{k}" for k in range(20)))
+    assert of("and who wrote the book he asked", heavy, *others) == {0: (1.0, 0.0)}
+
+
 def test_split_index_keeps_scores(spark, monkeypatch):
     items = [(i, " ".join(f"w{i * i * k * k % (41 + i)}" for k in range(2, 14 + 3 * i))) for i in range(1, 13)]
     docs = spark.createDataFrame([(i, t.rsplit(" ", 4)[0] + f" w1 w2 w{i}") for i, t in items], "doc_id long, text string")
