@@ -118,8 +118,16 @@ def _bmp(d: bytes) -> int | None:
 
 
 def _pdf(d: bytes) -> int | None:
-    end = d.rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in d[:end] and d[5:6].isdigit() else None
+    """Up to the last end marker before the next header: updates add markers. If there is none the next PDF is inside."""
+    if not d[5:6].isdigit():
+        return None
+    start = 5
+    while start >= 0:
+        start = d.find(b"%PDF-", start + 1)
+        end = d.rfind(b"%%EOF", 0, start if start >= 0 else len(d))
+        if end > 0 and d.find(b"startxref", 0, end) >= 0:
+            return end + 5
+    return None
 
 
 def _ogg(d: bytes) -> int | None:
@@ -138,11 +146,13 @@ def _flac(d: bytes) -> int | None:
 
 
 def _zip(d: bytes) -> int | None:
-    end = d.rfind(b"PK\x05\x06")
-    if end < 0 or len(d) < end + 22:
-        return None
-    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-    return end + 22 + note if offset + size == end and end + 22 + note <= len(d) else None
+    end = d.find(b"PK\x05\x06")
+    while 0 <= end <= len(d) - 22:
+        size, offset, note = struct.unpack_from("<IIH", d, end + 12)
+        if offset + size == end and end + 22 + note <= len(d):
+            return end + 22 + note
+        end = d.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def _midi(d: bytes) -> int | None:

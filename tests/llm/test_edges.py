@@ -103,6 +103,22 @@ def test_media(spark, clashing):
     assert [(r.sniffed_type, r.corrected) for r in media.sniff_media(odd).collect()] == [(None, False), (None, False), ("audio/wav", True)]
 
 
+def test_media_in_a_row():
+    import io
+    import zipfile
+
+    def packed(text):
+        with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+            z.writestr("x", text)
+        return out.getvalue()
+
+    pdf = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF"
+    parts = [b"....", pdf + b"\nnew\nstartxref\n20\n%%EOF", b"..", packed("a"), b"..", media.wav_of(b"abc"), pdf, b"..", packed("bc" * 20)]
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    kinds = {1: "application/pdf", 3: "application/zip", 5: "audio/wav", 6: "application/pdf", 8: "application/zip"}
+    assert media.sniff(b"".join(parts)) == [(k, starts[i], len(parts[i])) for i, k in kinds.items()]
+
+
 def test_substrings(spark, clashing):
     got = {r.doc_id: r for r in substrings.remove_repeats(clashing).collect()}
     assert (got[5].n_removed, got[5].kept) == (14, "") and got[1].n_removed == 0 and got[4].n_removed == 0 and got[2].kept == "" and got[7].n_words == 0
