@@ -48,7 +48,8 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: Trees, signatures and tokenizers have no SQL; tests hold the stages against brute force.
+#: Trees, signatures and tokenizers have no SQL. Tests check operators of the stages; none runs all stages
+#: in turn against plain versions.
 ORACLE_SQL = None
 
 
