@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,20 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_shared_dir()
 
 
+_made = threading.local()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := getattr(_made, "paths", None)) is not None:
+        paths[path] = False
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders of new_path that were made in it by this thread, but for tables
+    written with keep: these are left to the intermediates around it, or to the user, who may clear the
+    shared folder when the result has been written."""
+    outer, _made.paths = getattr(_made, "paths", None), {}
+    try:
+        yield
+    finally:
+        paths, _made.paths = _made.paths, outer
+        for path, kept in paths.items():
+            if not kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            elif outer is not None:
+                outer[path] = False
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a table written to the shared folder: it survives lost executors and cuts the lineage.
 
     Its size is known to the planner, which broadcasts it in joins only if it is below
-    spark.sql.autoBroadcastJoinThreshold. Shuffle files of the write are dropped when it ends.
+    spark.sql.autoBroadcastJoinThreshold. Shuffle files of the write are dropped when it ends, by a
+    setting that holds for the session meanwhile. keep saves the table from intermediates.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -59,12 +87,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+    if keep and getattr(_made, "paths", None) is not None:
+        _made.paths[path] = True
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """The name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names, which Spark compares without regard to case."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in gone])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the name after as many underscores as no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def position(df: DataFrame, name: str) -> int:
+    """Of the column name among df's columns, without regard to case."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def schema_with(df: DataFrame, *more: str) -> str:
+    """df's columns and more ones ("name type") as SQL text."""
+    return ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """From now on, Arrow batches of the session hold no more than this: long texts in batches of
-    the default 10,000 rows could fill a Python worker's memory. Smaller settings stay."""
+    the default 10,000 rows could fill a Python worker's memory. Smaller settings stay.
+
+    The setting can't be put back: results are lazy, and it must hold when they are worked out.
+    Sessions that want other batches elsewhere should use operators in a session of their own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -2,7 +2,8 @@
 
 Every record is a gzip member of its own. A reading task gets a byte range of a file; it scans it
 for gzip magic, validates candidate members by decoding their first bytes up to a record header,
-then follows member after member, and owns the records that start inside its range.
+then follows member after member, and owns the records that start inside its range. Places where
+a member does not decode, or no record follows a member, come back as records of type damaged.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,7 +28,8 @@ MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT = 100
 #: Copies of the small side of the join on digests, so that a digest of very many pages is dealt out.
 SALTS = 32
-BLOCK = 1 << 18
+#: Bytes read at a time, and those from which a member is told.
+BLOCK, PROBE = 1 << 18, 4096
 
 
 def _clean(value: str) -> str:
@@ -34,16 +37,26 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record_id(page: str | None) -> str:
+    """The URN of a page's record; that of a null id is one that no id has."""
+    return "<urn:null-page>" if page is None else f"<urn:page:{quote(page)}>"
+
+
+def page_of(urn: str | None) -> str | None:
+    """The page of a record_id."""
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn.startswith("<urn:page:") else None
+
+
+def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response, or a revisit of the record of page refers_to, which has HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -88,7 +101,7 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
                 for i in range(batch.num_rows):
                     page, url, html, digest, refers_to = (c[i].as_py() for c in batch.columns)
                     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    raw = record("null" if page is None else str(page), url, html.encode(), digest, None if refers_to is None else str(refers_to))
+                    raw = record(None if page is None else str(page), url, html.encode(), digest, None if refers_to is None else str(refers_to))
                     size += out.write(pack.compress(raw) + pack.flush())
                     count += 1
                 batch = next(batches, None)
@@ -98,72 +111,92 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
 
 
 class _Range:
-    """A file's bytes from a position on, read block by block."""
+    """A file's bytes from a position on, read block by block. What is dropped is held no longer."""
 
     def __init__(self, fs, path: str, start: int):
         self.file = fs.open_input_file(path)
         self.file.seek(start)
-        self.start, self.data, self.ended = start, b"", False
+        self.start, self.data, self.ended = start, bytearray(), False
 
-    def more(self) -> bool:
-        block = self.file.read(BLOCK)
-        self.data += block
-        self.ended = not block
-        return bool(block)
+    def fill(self, n: int) -> bool:
+        """Reads on until n bytes are held; false if the file ends before."""
+        while len(self.data) < n and not self.ended:
+            block = self.file.read(BLOCK)
+            self.data += block
+            self.ended = not block
+        return len(self.data) >= n
 
     def drop(self, upto: int) -> None:
-        self.data, self.start = self.data[upto - self.start :], upto
+        del self.data[: upto - self.start]
+        self.start = upto
 
+    def opens_record(self, at: int = 0) -> bool:
+        """Whether a gzip member that holds a WARC record starts at this place of the bytes held."""
+        self.fill(at + PROBE)
+        try:
+            return zlib.decompressobj(31).decompress(self.data[at : at + PROBE], 64).startswith(b"WARC/1.")
+        except zlib.error:
+            return False
 
-def _opens_record(data: bytes) -> bool:
-    """Whether a gzip member that holds a WARC record starts here."""
-    try:
-        return zlib.decompressobj(31).decompress(data[:4096], 64).startswith(b"WARC/1.")
-    except zlib.error:
-        return False
+    def member(self) -> bytes | None:
+        """The decoded member at the first byte, which is dropped with it; null if it is damaged."""
+        unpack, out = zlib.decompressobj(31), bytearray()
+        try:
+            while not unpack.eof:
+                if not self.fill(1):
+                    return None
+                piece = bytes(self.data)
+                out += unpack.decompress(piece)
+                self.drop(self.start + len(piece) - len(unpack.unused_data))
+        except zlib.error:
+            return None
+        return bytes(out)
 
 
 def _first_member(src: _Range, end: int) -> int | None:
     """Position of the first member that starts before end."""
+    look = 0
     while True:
-        at = src.data.find(MAGIC)
-        while at >= 0 and src.start + at < end:
-            while len(src.data) < at + 4096 and src.more():
-                pass
-            if _opens_record(src.data[at : at + 4096]):
+        at = src.data.find(MAGIC, look)
+        if at >= 0:
+            if src.start + at >= end:
+                return None
+            if src.opens_record(at):
                 return src.start + at
-            at = src.data.find(MAGIC, at + 1)
-        if src.start + len(src.data) - 2 >= end or src.ended:
-            return None
-        src.drop(src.start + max(0, len(src.data) - 2))
-        if not src.more():
+            look = at + 1
+        elif src.ended or src.start + len(src.data) - 2 >= end:
             return None
+        else:
+            src.drop(src.start + max(0, len(src.data) - 2))
+            look = 0
+            src.fill(len(src.data) + 1)
+
 
+def members(fs, path: str, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """(position, content) of the file's members that start in [start, end).
 
-def members(fs, path: str, start: int, end: int) -> Iterator[bytes]:
-    """The decoded members of the file that start in [start, end). A damaged member is passed over."""
+    The content is null where a member does not decode, where bytes that open no record follow a
+    member (reported with the member before, wherever its range ends), and at 0 if the file does
+    not begin with a record. The search goes on behind such a place.
+    """
     src = _Range(fs, path, start)
     at = _first_member(src, end)
+    if start == 0 and at != 0 and end > 0:
+        yield 0, None
     while at is not None and at < end:
         src.drop(at)
-        unpack, out, used = zlib.decompressobj(31), [], 0
-        try:
-            while not unpack.eof:
-                if used == len(src.data) and not src.more():
-                    raise zlib.error("cut off")
-                piece = src.data[used : used + BLOCK]
-                out.append(unpack.decompress(piece))
-                used += len(piece) - len(unpack.unused_data)
-            yield b"".join(out)
-            at += used
-            while len(src.data) < used + 3 and src.more():
-                pass
-            if src.data[used : used + 3] == MAGIC:
-                continue
-            src.drop(at)
-        except zlib.error:
-            src.drop(at + 1)
-        at = _first_member(src, end)
+        content = src.member()
+        yield at, content
+        if content is None:
+            src = _Range(fs, path, at + 1)
+            at = _first_member(src, end)
+        elif not src.fill(1):
+            return
+        elif src.opens_record():
+            at = src.start
+        else:
+            yield src.start, None
+            at = _first_member(src, end) if src.start < end else None
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -176,12 +209,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, int(length[1]) if length else len(payload)
 
 
-RECORD = "page_id string, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string, intact boolean"
+RECORD = "page_id string, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string, intact boolean, position long"
 
 
-def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 128 << 20) -> DataFrame:
     """The records of the archives (path, bytes): ids, type, URL, payload (null in revisits), the
-    length and digest of the full payload, and whether a response's payload has the stored digest."""
+    length and digest of the full payload, whether a response's payload has the stored digest, and
+    the position in the file.
+
+    A task reads one range of split_bytes. A damaged place is a row of type damaged: only position
+    and intact (false) are not null there. An empty list of files gives no rows.
+    """
     root = new_path(spark, "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +227,17 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for raw in members(fs, path, start, end):
+                for at, raw in members(fs, path, start, end):
+                    if raw is None:
+                        rows.append((None, "damaged", None, None, None, None, None, False, at))
+                        continue
                     fields, payload, length = parse(raw)
-                    kind = fields.get("warc-type")
-                    stored = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-                    own = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None  # noqa: B023, E731
-                    full = kind == "response"
+                    full, stored = fields.get("warc-type") == "response", fields.get("warc-payload-digest", "").removeprefix("sha256:")
                     digest = hashlib.sha256(payload).hexdigest() if full else stored
-                    rows.append((own("warc-record-id"), kind, fields.get("warc-target-uri"), payload if full else None, length, digest, own("warc-refers-to"), digest == stored and (not full or length == len(payload))))
+                    rows.append((
+                        page_of(fields.get("warc-record-id")), fields.get("warc-type"), fields.get("warc-target-uri"), payload if full else None, length, digest,
+                        page_of(fields.get("warc-refers-to")), digest == stored and (not full or length == len(payload)), at,
+                    ))
                     held += len(payload)
                     if held > 8 << 20 or len(rows) >= 2000:
                         yield _batch(rows)
@@ -206,16 +247,21 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = files.select("path", starts.alias("start"), "bytes").select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
-    return splits.repartition("path", "start").mapInArrow(read, RECORD)
+    # rows of splits are few bytes, of which adaptive execution would make one task; it keeps a stated number
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return splits.repartition(int(n)).mapInArrow(read, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-    names = ["page_id", "record_type", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "intact"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+    names = ["page_id", "record_type", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "intact", "position"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page through archives and back. Null and empty html are empty payloads, repeated rows are
+    repeated records, a null page_id comes back as null, other columns are not archived. A damaged
+    place of an archive would be a row of its own, of type damaged without ids."""
     pages = table(spark, sf_dir, "pages")
     files = write_warc(pages, new_path(spark, "warc"))
     kind = pages.schema["page_id"].dataType

@@ -1,6 +1,5 @@
 """Operators against plain versions of themselves on a small table."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -12,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from assaykit.llm import decontamination, licenses, minhash, quality, substrings, tokens, warc
+from assaykit.llm import decontamination, licenses, minhash, quality, substrings, tokens
 from assaykit.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -177,19 +176,3 @@ def test_trees_walk():
         return 1 / (1 + np.exp(-total))
 
     assert np.allclose([one(r) for r in x[:50]], model.score(x[:50]))
-
-
-def test_members_at_every_split(tmp_path):
-    import pyarrow.fs as pafs
-
-    random.seed(4)
-    pages = [random.randbytes(random.randrange(3000)).hex() + "\x1f" for _ in range(30)]
-    packed = []
-    for i, html in enumerate(pages):
-        c = zlib.compressobj(random.choice((0, 6)), zlib.DEFLATED, 31)
-        packed.append(c.compress(warc.record(str(i), "u", html.encode(), hashlib.sha256(html.encode()).hexdigest(), None)) + c.flush())
-    (tmp_path / "x.warc.gz").write_bytes(b"".join(packed))
-    size = sum(map(len, packed))
-    for split in (100, 999, 5000, size):
-        found = [warc.parse(m)[0]["warc-record-id"] for a in range(0, size, split) for m in warc.members(pafs.LocalFileSystem(), str(tmp_path / "x.warc.gz"), a, min(size, a + split))]
-        assert found == [f"<urn:page:{i}>" for i in range(30)]

@@ -53,7 +53,7 @@ def test_warc(spark):
     for split in (700, 1 << 20):
         got = warc.read_warc(spark, files, split_bytes=split).collect()
         assert len(got) == len(rows) and all(r.intact for r in got)
-        assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.record_type == "revisit") == [("2", "revisit", "1"), ("2", "revisit", "1"), ("null", "revisit", "1")]
+        assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got if r.record_type == "revisit"), key=str) == [("2", "revisit", "1"), ("2", "revisit", "1"), (None, "revisit", "1")]
         assert {r.page_id: r.payload_digest for r in got}["7"] == hashlib.sha256(LONG.encode()).hexdigest()
         assert {r.page_id: r.payload_bytes for r in got}["2"] == 120
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0), new_path(spark, "warc"))).count() == 0
