@@ -7,11 +7,11 @@ shingle's weight. A component is the least time among its points, so two documen
 with the probability sum(min) / sum(max). Points are made in order of time only until no
 component can fall any more.
 
-Classes: exact copies are one representative. Representatives that agree in a band share a
-bucket; each is compared with the first one of all its buckets, then with one of another class,
-and links that are verified on the multisets give classes. What is left are pairs of different
-classes in one bucket: all of these are compared, block by block, on short sketches, and
-verified in their task where the estimate is near enough.
+Classes: exact copies are one representative, which gets a number of its own. Representatives that
+agree in a band share a bucket; each is compared with the first one of all its buckets, then with
+one of another class, and links that are verified on the multisets give classes. What is left are
+pairs of different classes in one bucket: all of these are compared, block by block, on short
+sketches, and verified where the estimate is near enough. Texts are fetched for near pairs alone.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, bounded_batches, table, written
+from .common import WORD_RE, bounded_batches, intermediates, quoted, table, unused, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of the signature and components in each: at a similarity of 0.8, 99.994 % of pairs share a bucket.
@@ -34,7 +34,9 @@ M = BANDS * ROWS
 #: Share of the sketch's bytes (of M) at which a pair is verified: five standard deviations below THRESHOLD.
 NEAR = 0.65
 #: Members of a bucket in one block of comparisons.
-CHUNK = 1024
+CHUNK = 256
+#: Pairs that one copy of a representative's sketch or text is joined with; of more it is dealt out in copies.
+PART = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -163,14 +165,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], batch.schema.field(0).type) for k in (0, 1)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar enough, as a written table."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    of_a, of_b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verify, f"a {kind}, b {kind}").distinct(), "near-links")
+def _with(pairs: DataFrame, side: str, values: DataFrame, name: str, narrow: DataFrame) -> DataFrame:
+    """pairs with the column name of values (rep, name) for the representative on this side.
+
+    Representatives of very many pairs are dealt out: their values are copied, one copy for every
+    PART pairs, which are counted in narrow, a written table of the pairs' (a, b).
+    """
+    hot = narrow.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    hot = written(hot.select(F.col(side).alias("hot"), F.ceil(F.col("n") / PART).cast("int").alias("parts")), "near-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    salt = F.pmod(F.xxhash64("a", "b"), parts.cast("long")).cast("int")
+    dealt = pairs.join(hot, F.col(side) == F.col("hot"), "left").withColumn("part", salt).drop("hot", "parts")
+    copies = values.join(hot, F.col("rep") == F.col("hot"), "left").select("rep", name, F.explode(F.sequence(F.lit(0), parts - 1)).alias("copy"))
+    return dealt.join(copies, (F.col(side) == F.col("rep")) & (F.col("part") == F.col("copy"))).drop("part", "rep", "copy")
+
+
+def _digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of representatives, a written table, whose texts are similar enough, as another."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sought = written(ids.join(reps, F.col("id") == F.col("rep")).select("rep", F.col("digest").alias("of"), "first_id"), "near-ids")
+    rows = docs.select("doc_id", "text").withColumn("digest", _digest())
+    found = rows.join(sought, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = written(found.groupBy("rep").agg(F.first("text").alias("text")), "near-texts")  # rows may be repeated
+    both = _with(pairs, "b", texts, "text", pairs).withColumnRenamed("text", "text_b")
+    both = _with(both, "a", texts, "text", pairs).select("a", "b", "text", "text_b")
+    return written(both.mapInArrow(_verify, "a long, b long").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,140 +214,145 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-class _Bags:
-    """Shingle multisets of texts by position, the latest ones kept up to a number of shingles."""
-
-    def __init__(self, texts: list[str], most: int = 300_000):
-        self.texts, self.most, self.size = texts, most, 0
-        self.kept: OrderedDict[int, Counter] = OrderedDict()
-
-    def __getitem__(self, i: int) -> Counter:
-        if i not in self.kept:
-            self.kept[i] = shingles_of(self.texts[i])
-            self.size += len(self.kept[i])
-            while self.size > self.most and len(self.kept) > 2:
-                self.size -= len(self.kept.popitem(last=False)[1])
-        self.kept.move_to_end(i)
-        return self.kept[i]
-
-
-def _links(group: list[tuple]) -> Iterator[tuple]:
-    """Verified links between members (key, i, j, part, rep, class, sketch, keys, text) of different
-    classes in one block of a bucket. A pair is verified in the first bucket that it shares alone."""
-    key, i, j = group[0][:3]
+def _near(group: list[tuple]) -> Iterator[tuple]:
+    """Pairs of members (key, i, j, part, rep, class, sketch) of different classes in one block of a
+    bucket whose sketches are near."""
+    _, i, j = group[0][:3]
     sketch = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), M)
-    keys = np.array([r[7] for r in group], np.int64)
-    label = np.unique([r[5] for r in group], return_inverse=True)[1]
-    part = np.array([r[3] for r in group])
-    bags = _Bags([r[8] for r in group])
+    label, part, rep = (np.array([r[k] for r in group]) for k in (5, 3, 4))
     for k in range(len(group) - 1):
         ok = label[k + 1 :] != label[k]
         if i != j:
             ok &= part[k + 1 :] != part[k]
         near = np.flatnonzero(ok) + k + 1
-        near = near[(sketch[near] == sketch[k]).mean(1) >= NEAR] if len(near) else near
         if len(near):
-            near = near[keys[k][(keys[near] == keys[k]).argmax(1)] == key]
-        for x in near.tolist():
-            if similarity(bags[k], bags[x]) >= THRESHOLD:
-                a, b = group[k][4], group[x][4]
-                yield (a, b) if a < b else (b, a)
+            near = near[(sketch[near] == sketch[k]).mean(1) >= NEAR]
+            yield from ((min(x, r), max(x, r)) for x, r in zip(rep[near].tolist(), [int(rep[k])] * len(near), strict=True))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in each (key, i, j). Rows come sorted by these."""
+    """Near pairs in each (key, i, j). Rows come sorted by these."""
     group: list[tuple] = []
-    kind = pa.int64()
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        kind, found = batch.schema.field(4).type, []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][:3] != row[:3]:
-                found += _links(group)
+                yield out(list(_near(group)))
                 group = []
             group.append(row)
-        yield out(found)
     if group:
-        yield out(list(_links(group)))
+        yield out(list(_near(group)))
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the least doc_id of the document's class of copies and near copies.
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, sa, sb = batch.columns
+        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, M) for s in (sa, sb))
+        ok = pa.array((x == y).mean(1) >= NEAR)
+        yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
-    Equal texts are one class (null counts as empty), as are all texts without words. Different texts are linked at a weighted
-    Jaccard similarity of THRESHOLD or more of their word 5-grams, split at ASCII white space
-    and otherwise unchanged; classes are closed under links. Repeated rows come back as often;
-    a null doc_id belongs to its class but never names it unless the class has no other id.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: doc_id and digest of every row; digest, first_id (the least doc_id of the text),
+    class_id and class_key of every distinct text."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<long>, sketch binary"), "near-signed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "keys", "sketch")).alias("r")
-    reps = written(signed.groupBy("digest").agg(first).select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sketch"), "near-reps")
-    bands = reps.where(F.col("rep").isNotNull()).select("rep", F.explode("keys").alias("key"))
+    signed = written(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<long>, sketch binary"), "near-signed", keep=True)
+    reps = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")  # numbers are fixed once they are written
+    bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").withColumnRenamed("key", "shared_key"), "near-buckets")
     members = written(bands.join(shared, F.col("key") == F.col("shared_key")).select("key", "rep", "center"), "near-members")
-    sketches = reps.select(F.col("rep").alias("sketch_of"), "sketch")
-
-    of_a, of_b = sketches.select(F.col("sketch_of").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("sketch_of").alias("b"), F.col("sketch").alias("sb"))
+    sketches = reps.select("rep", "sketch")
 
     def linked(stars: DataFrame) -> DataFrame:
-        near = stars.join(of_b, "b").join(of_a, "a").select("a", "b", "sa", "sb").mapInArrow(_near_pairs, f"a {kind}, b {kind}")
-        return verified(written(near, "near-pairs"), docs)
+        """Verified links among one pair (a, b) for each b."""
+        stars = written(stars.select("a", "b"), "near-stars")
+        half = stars.join(sketches, F.col("b") == F.col("rep")).select("a", "b", F.col("sketch").alias("sb"))
+        near = _with(half, "a", sketches, "sketch", stars).select("a", "b", "sketch", "sb").mapInArrow(_near_pairs, "a long, b long")
+        return _verified(written(near, "near-pairs"), docs, reps)
 
-    def name_classes(links: DataFrame) -> DataFrame:
-        roots = components(links)
+    def name_classes(roots: DataFrame) -> DataFrame:
         named = members.join(roots, members["rep"] == roots["id"], "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
         return written(named, "near-named")
 
     # one link for each representative: to the first of all its buckets, then to one of another class
-    links = linked(members.where("rep <> center").groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")))
-    named = name_classes(links)
+    roots = components(linked(members.where("rep <> center").groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a"))))
+    named = name_classes(roots)
+
+    def joined(more: DataFrame) -> bool:
+        """Whether there are more links, which are then in roots and named."""
+        nonlocal roots, named
+        if more.isEmpty():
+            return False
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+        return True
+
     leads = named.groupBy("key").agg(F.min(F.struct("class", "rep")).alias("lead"), F.max("class").alias("last")).where("lead.class <> last")
     leads = written(leads.select(F.col("key").alias("lead_key"), "lead"), "near-leads")
-    other = named.join(leads, F.col("key") == F.col("lead_key")).where("class <> lead.class")
-    links = links.union(linked(other.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a"))))
-    named = name_classes(links)
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
-    mixed = written(mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "near-mixed")
-    met = written(named.join(mixed, named["key"] == mixed["mixed_key"]).select("key", "rep", "class", "parts"), "near-met")
-    texts = docs.select(F.col("doc_id").alias("text_of"), F.col("text"))
-    texts = texts.join(written(met.select(F.col("rep").alias("id")).distinct(), "near-ids"), F.col("text_of") == F.col("id"), "left_semi")
-    whole = texts.join(reps.select(F.col("rep").alias("sketch_of"), "sketch", "keys"), F.col("text_of") == F.col("sketch_of")).drop("sketch_of")
-    blocks = (
-        met.join(whole, met["rep"] == whole["text_of"])
-        .withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class", "sketch", "keys", "text")
-    )
-    rest = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, f"a {kind}, b {kind}").distinct()
-    more = written(rest, "near-links")
-    roots = components(links.union(more))
-    rep_class = reps.join(roots, reps["rep"].eqNullSafe(roots["id"]), "left").select(F.col("digest").alias("of"), F.coalesce("root", "rep").alias("class_id"))
-    rep_class = written(rep_class, "near-classes")
-    return signed.select("doc_id", "digest").join(rep_class, F.col("digest") == F.col("of")).select("doc_id", "class_id")
+    if not leads.isEmpty():
+        other = named.join(leads, F.col("key") == F.col("lead_key")).where("class <> lead.class")
+        if joined(linked(other.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")))):
+            named = name_classes(roots)
+        mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
+        mixed = written(mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "near-mixed")
+        met = named.join(mixed, named["key"] == mixed["mixed_key"]).select("key", F.col("rep").alias("met"), "class", "parts")
+        blocks = (
+            met.join(sketches, F.col("met") == F.col("rep"))
+            .withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class", "sketch")
+        )
+        near = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
+        joined(_verified(written(near, "near-pairs"), docs, reps))
+    grown = roots.select("id", "root").union(roots.select("root", "root")).distinct()
+    inside = grown.join(reps.select("rep", "digest", "first_id"), F.col("id") == F.col("rep"))
+    order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("digest").alias("class_key"))
+    names = written(inside.groupBy("root").agg(F.min(order).alias("name")).withColumnRenamed("root", "name_of"), "near-names")
+    of_rep = written(inside.join(names, F.col("root") == F.col("name_of")).select(F.col("id").alias("grown"), "name"), "near-grown")
+    own = F.coalesce("name", order)
+    classes = reps.select("rep", "digest", "first_id").join(of_rep, F.col("rep") == F.col("grown"), "left").select("digest", "first_id", own["class_id"].alias("class_id"), own["class_key"].alias("class_key"))
+    return signed.select("doc_id", "digest"), written(classes, "near-classes", keep=True)
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, sa, sb = batch.columns
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, M) for s in (sa, sb))
-        ok = pa.array((x == y).mean(1) >= NEAR)
-        yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the document's class of copies and near copies), class_key.
+
+    Equal texts are one class (null counts as empty), as are all texts without words. Different texts are linked at a weighted
+    Jaccard similarity of THRESHOLD or more of their word 5-grams, split at ASCII white space
+    and otherwise unchanged; classes are closed under links. Repeated rows come back as often;
+    a null doc_id names its class only if the class has no other id. class_key, the MD5 of the class's
+    first text (by id, then by MD5), tells classes apart where ids repeat with different texts and
+    two classes have the same least id. Other columns are not read; an empty table gives no rows.
+    """
+    with intermediates(docs.sparkSession):
+        signed, classes = _classes(docs)
+    classes = classes.select(F.col("digest").alias("of"), "class_id", F.lower(F.hex("class_key")).alias("class_key"))
+    return signed.join(classes, F.col("digest") == F.col("of")).select("doc_id", "class_id", "class_key")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each class the document with the least doc_id, with its columns; of repeated rows with this
-    id one. Rows with a null id stay."""
-    classes = near_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = written(classes, "near-kept")
-    known = docs.where(F.col("doc_id").isNotNull())
-    rows = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where(F.col("doc_id").isNull()))
+    """Of each class the document with the least doc_id (nulls last; of several texts of one id that of the
+    least MD5), with its columns. Of rows with this id and text the one whose content comes first as JSON."""
+    with intermediates(docs.sparkSession):
+        signed, classes = _classes(docs)
+        firsts = classes.where("digest = class_key").select(F.col("digest").alias("of"), "first_id")
+        same = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+        kept = written(signed.join(firsts, same).groupBy("of", "first_id").agg(F.count("*").alias("n_rows")), "near-kept", keep=True)
+        repeated = not kept.where("n_rows > 1").isEmpty()
+    digest, of, first_id, n = (unused(docs, c) for c in ("digest", "of", "first_id", "n_rows"))
+    kept = kept.toDF(of, first_id, n)
+    rows = docs.withColumn(digest, _digest()).join(kept, (F.col(digest) == F.col(of)) & docs["doc_id"].eqNullSafe(kept[first_id]))
+    own = [F.col(quoted(c)) for c in docs.columns]
+    once = rows.where(F.col(n) == 1).select(*own)
+    if not repeated:
+        return once
+    row = F.struct(*own)
+    return once.union(rows.where(F.col(n) > 1).groupBy(of, first_id).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
+    """Every document with its class; null texts count as empty, null ids keep their rows (see near_classes)."""
     return near_classes(table(spark, sf_dir, "documents"))

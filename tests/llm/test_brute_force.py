@@ -83,7 +83,7 @@ def near(texts):
     return {d: find(d) for d in root}
 
 
-def test_minhash(spark, texts):
+def test_minhash(spark, texts, monkeypatch):
     random.seed(5)
     words = "a b c d e f g h i j k l m n o p".split()
     base = [random.choice(words) + str(random.randrange(50)) for _ in range(80)]
@@ -94,7 +94,12 @@ def test_minhash(spark, texts):
             copy[random.randrange(80)] = f"new{random.randrange(1000)}"
         rows.append((10_000 + i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == near(rows)
+    want = near(rows)
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
+    monkeypatch.setattr(minhash, "CHUNK", 4)  # hot representatives and large buckets
+    monkeypatch.setattr(minhash, "PART", 3)
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
+    assert {r.doc_id for r in minhash.keep_first(docs).collect()} == set(want.values())
 
 
 def test_signatures_estimate_weighted_jaccard():

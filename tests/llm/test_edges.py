@@ -183,6 +183,19 @@ def test_minhash(spark, clashing):
     assert minhash.near_classes(clashing.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (9, "a b")], "doc_id long, text string")
     assert sorted(r.class_id for r in minhash.near_classes(nulls).collect()) == [9, 9, 9]
+    assert [tuple(r) for r in minhash.keep_first(nulls).collect()] == [(9, "a b")]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    x, y, z = ("a b c d e f g", "p q r s t u v", "k l m n o")
+    rows = [(1, x, "r"), (1, y, "s"), (2, y, "t"), (3, z, "u"), (3, z, "q"), (3, x, "v"), (None, "n u l l s", "w"), (None, "o t h e r", "x"), (None, "o t h e r", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    for _ in range(2):
+        kept = sorted(map(tuple, minhash.keep_first(docs.repartition(3)).collect()), key=str)
+        assert kept == sorted([(1, x, "r"), (1, y, "s"), (3, z, "q"), (None, "n u l l s", "w"), (None, "o t h e r", "x")], key=str)
+    classes = minhash.near_classes(docs).collect()
+    assert len(classes) == len(rows) and len({r.class_key for r in classes}) == 5
+    assert {(r.doc_id, r.class_id) for r in classes} == {(1, 1), (2, 1), (3, 3), (3, 1), (None, None)}
 
 
 def test_mixing(spark, clashing, docs):
