@@ -10,14 +10,14 @@ component can fall any more.
 Classes: exact copies are one representative, which gets a number of its own. Representatives that
 agree in a band share a bucket; each is compared with the first one of all its buckets, then with
 one of another class, and links that are verified on the multisets give classes. What is left are
-pairs of different classes in one bucket: all of these are compared, block by block, on short
-sketches, and verified where the estimate is near enough. Texts are fetched for near pairs alone.
+pairs of different classes in one bucket: all of these are compared, block by block, on short sketches.
+The texts of members with a near pair in a block are then fetched and the pairs verified there.
 """
 
 from __future__ import annotations
 
 from collections import Counter, OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -34,7 +34,7 @@ M = BANDS * ROWS
 #: Share of the sketch's bytes (of M) at which a pair is verified: five standard deviations below THRESHOLD.
 NEAR = 0.65
 #: Members of a bucket in one block of comparisons.
-CHUNK = 256
+CHUNK = 512
 #: Pairs that one copy of a representative's sketch or text is joined with; of more it is dealt out in copies.
 PART = 512
 
@@ -184,13 +184,22 @@ def _digest(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _texts(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and text of the representatives in ids (rep), as a written table."""
+    sought = written(ids.distinct().join(reps.select("rep", "digest", "first_id", "n_rows"), "rep"), "near-sought")
+    # ids alone are few bytes, so more of them can be broadcast; texts that are not sought stay where they are
+    some = written(sought.select("first_id").distinct(), "near-ids")
+    rows = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("of", _digest())
+    found = rows.join(sought, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = found.where("n_rows = 1").select("rep", "text")
+    if not sought.where("n_rows > 1").isEmpty():  # rows of one id and text
+        texts = texts.union(found.where("n_rows > 1").groupBy("rep").agg(F.first("text").alias("text")))
+    return written(texts, "near-texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of representatives, a written table, whose texts are similar enough, as another."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sought = written(ids.join(reps, F.col("id") == F.col("rep")).select("rep", F.col("digest").alias("of"), "first_id"), "near-ids")
-    rows = docs.select("doc_id", "text").withColumn("digest", _digest())
-    found = rows.join(sought, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    texts = written(found.groupBy("rep").agg(F.first("text").alias("text")), "near-texts")  # rows may be repeated
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, reps)
     both = _with(pairs, "b", texts, "text", pairs).withColumnRenamed("text", "text_b")
     both = _with(both, "a", texts, "text", pairs).select("a", "b", "text", "text_b")
     return written(both.mapInArrow(_verify, "a long, b long").distinct(), "near-links")
@@ -214,37 +223,75 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _near(group: list[tuple]) -> Iterator[tuple]:
-    """Pairs of members (key, i, j, part, rep, class, sketch) of different classes in one block of a
-    bucket whose sketches are near."""
-    _, i, j = group[0][:3]
+class _Bags:
+    """Shingle multisets of texts by position, the latest ones kept up to a number of shingles."""
+
+    def __init__(self, texts: list[str], most: int = 300_000):
+        self.texts, self.most, self.size = texts, most, 0
+        self.kept: OrderedDict[int, Counter] = OrderedDict()
+
+    def __getitem__(self, i: int) -> Counter:
+        if i not in self.kept:
+            self.kept[i] = shingles_of(self.texts[i])
+            self.size += len(self.kept[i])
+            while self.size > self.most and len(self.kept) > 2:
+                self.size -= len(self.kept.popitem(last=False)[1])
+        self.kept.move_to_end(i)
+        return self.kept[i]
+
+
+def _near(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, later members near it): pairs of members (key, i, j, part, rep, class, sketch, keys) of
+    different classes in one block of a bucket, each in the first bucket that the two share alone."""
+    key, i, j = group[0][:3]
     sketch = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), M)
-    label, part, rep = (np.array([r[k] for r in group]) for k in (5, 3, 4))
+    keys = np.array([r[7] for r in group], np.int64)
+    label, part = (np.array([r[k] for r in group]) for k in (5, 3))
     for k in range(len(group) - 1):
         ok = label[k + 1 :] != label[k]
         if i != j:
             ok &= part[k + 1 :] != part[k]
         near = np.flatnonzero(ok) + k + 1
+        near = near[(sketch[near] == sketch[k]).mean(1) >= NEAR] if len(near) else near
+        near = near[keys[k][(keys[near] == keys[k]).argmax(1)] == key] if len(near) else near
         if len(near):
-            near = near[(sketch[near] == sketch[k]).mean(1) >= NEAR]
-            yield from ((min(x, r), max(x, r)) for x, r in zip(rep[near].tolist(), [int(rep[k])] * len(near), strict=True))
+            yield k, near
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs in each (key, i, j). Rows come sorted by these."""
-    group: list[tuple] = []
+def _members(group: list[tuple]) -> list[tuple]:
+    """key, i, j, part, rep, class of the members that are near another one."""
+    found = {x for k, near in _near(group) for x in (k, *near.tolist())}
+    return [group[x][:6] for x in sorted(found)]
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group and group[0][:3] != row[:3]:
-                yield out(list(_near(group)))
-                group = []
-            group.append(row)
-    if group:
-        yield out(list(_near(group)))
+def _links(group: list[tuple]) -> list[tuple]:
+    """Verified links (a, b); group has the members' texts too."""
+    bags = _Bags([r[8] for r in group])
+    pairs = ((k, x) for k, near in _near(group) for x in near.tolist())
+    return [(min(a, b), max(a, b)) for a, b in ((group[k][4], group[x][4]) for k, x in pairs if similarity(bags[k], bags[x]) >= THRESHOLD)]
+
+
+def _by_block(work: Callable[[list[tuple]], list[tuple]], names: list[str]) -> Callable:
+    """Applies work to the rows of each (key, i, j), which come sorted by these."""
+    kinds = [pa.int32() if n in ("i", "j", "part") else pa.int64() for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            rows = work(group)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    yield out()
+                    group = []
+                group.append(row)
+        if group:
+            yield out()
+
+    return run
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +308,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = written(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<long>, sketch binary"), "near-signed", keep=True)
-    reps = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_id"), F.col("n").alias("n_rows"))
+    firsts = signed.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).groupBy(F.col("digest").alias("of")).agg(F.min(order).alias("first"))
+    reps = signed.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).join(firsts, F.col("digest") == F.col("of"))
+    reps = reps.select("digest", "first.first_id", "first.n_rows", "keys", "sketch")
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")  # numbers are fixed once they are written
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").withColumnRenamed("key", "shared_key"), "near-buckets")
@@ -300,13 +350,18 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
         mixed = written(mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "near-mixed")
         met = named.join(mixed, named["key"] == mixed["mixed_key"]).select("key", F.col("rep").alias("met"), "class", "parts")
+        sketched = reps.select("rep", "sketch", "keys")
         blocks = (
-            met.join(sketches, F.col("met") == F.col("rep"))
+            met.join(sketched, F.col("met") == F.col("rep"))
             .withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class", "sketch")
+            .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "class", "sketch", "keys")
         )
-        near = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
-        joined(_verified(written(near, "near-pairs"), docs, reps))
+        dealt = lambda blocks: blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        near = dealt(blocks).mapInArrow(_by_block(_members, ["key", "i", "j", "part", "rep", "class"]), "key long, i int, j int, part int, rep long, class long")
+        near = written(near, "near-blocks")
+        whole = _texts(near.select("rep"), docs, reps).join(sketched, "rep").withColumnRenamed("rep", "text_of")
+        texts = near.join(whole, F.col("rep") == F.col("text_of")).select("key", "i", "j", "part", "rep", "class", "sketch", "keys", "text")
+        joined(written(dealt(texts).mapInArrow(_by_block(_links, ["a", "b"]), "a long, b long").distinct(), "near-links"))
     grown = roots.select("id", "root").union(roots.select("root", "root")).distinct()
     inside = grown.join(reps.select("rep", "digest", "first_id"), F.col("id") == F.col("rep"))
     order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("digest").alias("class_key"))
