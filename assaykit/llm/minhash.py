@@ -34,7 +34,7 @@ M = BANDS * ROWS
 #: Share of the sketch's bytes (of M) at which a pair is verified: five standard deviations below THRESHOLD.
 NEAR = 0.65
 #: Members of a bucket in one block of comparisons.
-CHUNK = 512
+CHUNK = 256
 #: Pairs that one copy of a representative's sketch or text is joined with; of more it is dealt out in copies.
 PART = 512
 
@@ -265,10 +265,23 @@ def _members(group: list[tuple]) -> list[tuple]:
 
 
 def _links(group: list[tuple]) -> list[tuple]:
-    """Verified links (a, b); group has the members' texts too."""
-    bags = _Bags([r[8] for r in group])
-    pairs = ((k, x) for k, near in _near(group) for x in near.tolist())
-    return [(min(a, b), max(a, b)) for a, b in ((group[k][4], group[x][4]) for k, x in pairs if similarity(bags[k], bags[x]) >= THRESHOLD)]
+    """Verified links (a, b) that join the members' classes within the block; group has their texts too.
+    Classes that a link has joined are one from then on: more links between them would say nothing new."""
+    bags, joined, out = _Bags([r[8] for r in group]), {}, []
+
+    def root(label: int) -> int:
+        while label in joined:
+            label = joined[label]
+        return label
+
+    for k, near in _near(group):
+        for x in near.tolist():
+            s, t = root(group[k][5]), root(group[x][5])
+            if s != t and similarity(bags[k], bags[x]) >= THRESHOLD:
+                joined[max(s, t)] = min(s, t)
+                a, b = group[k][4], group[x][4]
+                out.append((min(a, b), max(a, b)))
+    return out
 
 
 def _by_block(work: Callable[[list[tuple]], list[tuple]], names: list[str]) -> Callable:
@@ -310,9 +323,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<long>, sketch binary"), "near-signed", keep=True)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_id"), F.col("n").alias("n_rows"))
     firsts = signed.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).groupBy(F.col("digest").alias("of")).agg(F.min(order).alias("first"))
-    reps = signed.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).join(firsts, F.col("digest") == F.col("of"))
-    reps = reps.select("digest", "first.first_id", "first.n_rows", "keys", "sketch")
-    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")  # numbers are fixed once they are written
+    # numbers go up with the ids, so the first of a bucket, which others are compared with, is often their original;
+    # they are fixed once they are written
+    numbered = written(firsts.orderBy("first.none", "first.first_id", "of").withColumn("rep", F.monotonically_increasing_id()), "near-numbered")
+    reps = signed.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).join(numbered, F.col("digest") == F.col("of"))
+    reps = written(reps.select("rep", "digest", "first.first_id", "first.n_rows", "keys", "sketch"), "near-reps")
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1").withColumnRenamed("key", "shared_key"), "near-buckets")
     members = written(bands.join(shared, F.col("key") == F.col("shared_key")).select("key", "rep", "center"), "near-members")
