@@ -15,7 +15,7 @@ from ..sources.schemas import ALL_FIELDS, AMOUNT_FIELDS, DATE_FIELDS, EXACT_FIEL
 def exact_value(field: str, raw: Column) -> Column:
     """The value by which exact fields are compared. An ambiguous date equals only the same raw string."""
     if field in DATE_FIELDS:
-        return N.let(N.normalize_date(raw), lambda d: F.coalesce(d["iso"], F.when(F.size(d["candidates"]) > 0, F.concat(F.lit("__ambiguous__|"), raw))))
+        return N.read_date(raw, lambda *_: F.concat(F.lit("__ambiguous__|"), raw))
     if field == "industry_code":
         return N.normalize_code(raw)
     if field == "industry_code_type":
@@ -25,23 +25,23 @@ def exact_value(field: str, raw: Column) -> Column:
     if field == "year_built":
         return N.normalize_int(raw)
     if field == "construction_type":
-        return F.array_join(N.normalize_text_tokens(raw), " ")
+        return N.joined_tokens(raw)
     return N.normalize_identifier(raw)
 
 
 def field_correct(field: str, truth: Column, pred: Column, threshold: float = TEXT_THRESHOLD) -> Column:
-    """Whether a scalar field is right; two nulls are."""
+    """Whether a scalar field is right; two nulls are, and equal raw strings, which are not taken apart."""
     if field in TEXT_FIELDS:
         return N.token_overlap(truth, pred) >= threshold
-    return exact_value(field, truth).eqNullSafe(exact_value(field, pred))
+    return truth.eqNullSafe(pred) | exact_value(field, truth).eqNullSafe(exact_value(field, pred))
 
 
 def loss_key(event: Column) -> Column:
     """struct(date, cause, amount); the status doesn't count."""
-    iso = lambda d: F.coalesce(d["iso"], F.when(F.size(d["candidates"]) > 0, F.concat(F.lit("ambiguous:"), event["date"])))
+    date = event["date"]
     return F.struct(
-        N.let(N.normalize_date(event["date"]), iso).alias("date"),
-        F.array_join(N.normalize_text_tokens(event["cause"]), " ").alias("cause"),
+        N.read_date(date, lambda *_: F.concat(F.lit("ambiguous:"), date)).alias("date"),
+        N.joined_tokens(event["cause"]).alias("cause"),
         N.normalize_amount(event["paid_amount"]).alias("amount"),
     )
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import col
 from ..sources.io import scratch
@@ -19,6 +22,8 @@ PRICES = [
     ("local-pdf-parser", 0.0, 0.0),
 ]
 OTHER_PRICE = (1.0, 5.0)
+#: Of USD: exact for every whole number of tokens at prices of four places.
+MONEY = "decimal(20,10)"
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -27,11 +32,14 @@ def token_estimate(text: Column | str) -> Column:
 
 
 def with_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """calls with cost in USD; missing token counts are 0, models without a price have OTHER_PRICE."""
+    """calls with cost, in USD as a decimal of MONEY; missing token counts are 0, models without a price have
+    OTHER_PRICE. Prices are read to four places, so costs and their sums are exact in any order of adding."""
     prices = calls.sparkSession.createDataFrame(PRICES, "model string, input_usd double, output_usd double") if prices is None else prices
     joined = calls.join(prices.select("model", "input_usd", "output_usd"), "model", "left")
-    part = lambda tokens, price, other: F.coalesce(tokens, F.lit(0)) * F.coalesce(price, F.lit(other))
-    cost = (part(F.col("prompt_tokens"), F.col("input_usd"), OTHER_PRICE[0]) + part(F.col("completion_tokens"), F.col("output_usd"), OTHER_PRICE[1])) / 1e6
+    price = lambda usd, other: F.coalesce(usd, F.lit(other)).cast("decimal(12,4)")  # noqa: E731  of a million tokens: 1e-10 USD a token
+    part = lambda tokens, usd, other: F.coalesce(tokens, F.lit(0)).cast("decimal(16,0)") * price(usd, other)
+    total = part(F.col("prompt_tokens"), F.col("input_usd"), OTHER_PRICE[0]) + part(F.col("completion_tokens"), F.col("output_usd"), OTHER_PRICE[1])
+    cost = (total.cast("decimal(26,4)") * F.lit("0.000001").cast("decimal(6,6)")).cast(MONEY)
     return joined.withColumn("cost", cost).select(*[calls[c] if c != "model" else F.col("model") for c in calls.columns if c != "cost"], "cost")
 
 
@@ -47,7 +55,11 @@ def running_total(calls: DataFrame, order: list[str], run: str | None = None, am
     within each range, and the sums of the run's ranges before are added; no task sees all calls
     of a run. The dealt calls are written once: each plan that reads them would else sample ranges
     of its own. Rows that tie in the order are summed together; null amounts count nothing.
+    Decimal amounts add up exactly, with ten more digits before the point.
     """
+    of = calls.schema[amount].dataType
+    kind = f"decimal({min(37, of.precision + 10)},{of.scale})" if isinstance(of, T.DecimalType) else None
+    total = lambda c: c.cast(kind) if kind else c
     runs = [] if run is None else [run]
     path = scratch(calls.sparkSession, "dealt")
     dealt = calls.repartitionByRange(parts, *runs, *order).withColumn("part", F.spark_partition_id())
@@ -55,8 +67,8 @@ def running_total(calls: DataFrame, order: list[str], run: str | None = None, am
     dealt = calls.sparkSession.read.schema(dealt.schema).parquet(path)
     sums = dealt.groupBy(*runs, "part").agg(F.sum(amount).alias("total"))
     earlier = W.partitionBy(*runs).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(F.col("part").alias("of"), *[F.col(r).alias("of_run") for r in runs], F.sum("total").over(earlier).alias("before"))
-    dealt = dealt.withColumn("within", F.sum(amount).over(W.partitionBy(*runs, "part").orderBy(*order)))
+    before = sums.select(F.col("part").alias("of"), *[F.col(r).alias("of_run") for r in runs], total(F.sum("total").over(earlier)).alias("before"))
+    dealt = dealt.withColumn("within", total(F.sum(amount).over(W.partitionBy(*runs, "part").orderBy(*order))))
     same = F.col("part") == F.col("of")
     for r in runs:
         same &= F.col(r).eqNullSafe(F.col("of_run"))
@@ -66,27 +78,34 @@ def running_total(calls: DataFrame, order: list[str], run: str | None = None, am
 
 def spend_audit(calls: DataFrame, cap: float, order: list[str], run: str | None = None) -> DataFrame:
     """calls with running and status: charged; tripped, the first whose running total is above the cap
-    (it is still charged); skipped after that; invalid for a negative or missing cost, which counts nothing."""
+    (it is still charged); skipped after that; invalid for a negative or missing cost, which counts nothing.
+
+    What has been spent is the running total of the tripped call; that of skipped ones is what it would
+    have been. Decimal costs (with_cost) are compared exactly.
+    """
+    kind = calls.schema["cost"].dataType
     valid = F.coalesce(F.col("cost") >= 0, F.lit(False))
-    marked = calls.withColumn("counted", F.when(valid, F.col("cost")).otherwise(0.0))
+    marked = calls.withColumn("counted", F.when(valid, F.col("cost")).otherwise(F.lit(0).cast(kind)))
     rows = running_total(marked, order, run, "counted")
     before = F.col("running") - F.col("counted")
-    limit = cap + 1e-12
+    limit = F.lit(Decimal(str(cap)) + Decimal("1e-12")) if isinstance(kind, T.DecimalType) else F.lit(cap + 1e-12)
     status = F.when(~valid, "invalid").when(F.col("running") <= limit, "charged").when(before <= limit, "tripped").otherwise("skipped")
     return rows.withColumn("status", status).drop("counted")
 
 
-def rate_audit(calls: DataFrame, rpm: int, ts: str = "ts", provider: str = "provider", seconds: int = 60) -> DataFrame:
-    """calls with in_window, the provider's calls in (ts - 60 s, ts], and over (more than rpm; never if rpm <= 0).
+def rate_audit(calls: DataFrame, rpm: int, ts: str = "ts", provider: str = "provider", seconds: int = 60, span: int = 600) -> DataFrame:
+    """calls with in_window, the provider's calls in (ts - seconds, ts], and over (more than rpm; never if rpm <= 0).
 
-    Calls of one time count each other. Windows are by provider and hour: each call is also sent
-    to the next hour if it is in its last minute, so no task needs all calls of a provider.
+    Calls of one time count each other. Windows are by provider and span of that many seconds: each
+    call is also sent to the next span if it is in the last `seconds` of its own, so no task needs
+    all calls of a provider, and a shorter span makes smaller tasks. It can't be below `seconds`.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = 3_600_000_000
-    rows = calls.withColumn("at", micros).withColumn("hour", F.floor(F.col("at") / span))
-    copies = F.when(F.pmod(F.col("at"), F.lit(span)) >= span - seconds * 1_000_000, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.withColumn("later", F.explode(copies)).withColumn("hour", F.col("hour") + F.col("later"))
-    window = W.partitionBy(provider, "hour").orderBy("at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    counted = dealt.withColumn("in_window", F.count("*").over(window)).where("later = 0").drop("at", "hour", "later")
+    if not 0 < seconds <= span:
+        raise ValueError("a span must have as many seconds as the window, at least")
+    width = span * 1_000_000
+    rows = calls.withColumn("at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("spell", F.floor(F.col("at") / width))
+    copies = F.when(F.pmod(F.col("at"), F.lit(width)) >= width - seconds * 1_000_000, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("later", F.explode(copies)).withColumn("spell", F.col("spell") + F.col("later"))
+    window = W.partitionBy(provider, "spell").orderBy("at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    counted = dealt.withColumn("in_window", F.count("*").over(window)).where("later = 0").drop("at", "spell", "later")
     return counted.withColumn("over", F.lit(rpm > 0) & (F.col("in_window") > rpm))

@@ -7,9 +7,12 @@ condition (0, 1) and r the run; at condition 0 runs don't differ.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
 from ..sources.schemas import CONDITIONS, N_RUNS, RAW_LOSS, TIERS
 
 #: field -> multiplier, step and modulus of its variant.
@@ -31,6 +34,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written to the shared folder when a session first asks for it and read from there since.
+
+    It is dealt out evenly: what joins leave in few partitions would be few tasks in all queries that read it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = scratch(spark, f"derived-{name}")
+        parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        build().repartition(parts).write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
 #: Typed truth columns as Spark SQL over orders, customer and nation.
 _TRUTH = {
     "named_insured": "concat(c_name, ' ', c_mktsegment, ' LLC')",
@@ -52,6 +72,10 @@ _TRUTH = {
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, difficulty_tier, the typed truth columns, and losses: sorted array of raw events."""
+    return kept(spark, sf_dir, "base", lambda: _base(spark, sf_dir))
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey", "o_orderdate", "cast(floor(o_totalprice) as bigint) as p")
     people = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_mktsegment", "n_name")
     event = "struct(concat(year(l_shipdate), '-01-01') as date, concat('Return ', l_returnflag) as cause, cast(floor(l_extendedprice / 25000) * 25000 as bigint) as paid_amount, if(l_linestatus = 'O', 'Open', 'Closed') as status)"
@@ -108,6 +132,10 @@ def _predicted() -> str:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, k, condition, run_index, pred (raw extraction) of all conditions and runs."""
+    return kept(spark, sf_dir, "runs", lambda: _runs(spark, sf_dir))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(N_RUNS - 1))))
     condition = F.element_at(F.array(*map(F.lit, CONDITIONS)), F.col("c") + 1)
     return rows.select(F.concat(F.lit("doc_"), F.col("k")).alias("doc_id"), "k", condition.alias("condition"), F.col("r").alias("run_index"), F.expr(_predicted()).alias("pred"))
@@ -115,6 +143,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, k, difficulty_tier, truth, pred: the predictions are those of run 0 at condition 0."""
+    return kept(spark, sf_dir, "pairs", lambda: _pairs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).withColumn("c", F.lit(0)).withColumn("r", F.lit(0))
     return rows.select(
         F.concat(F.lit("doc_"), F.col("k")).alias("doc_id"), "k", "difficulty_tier", F.expr(_raw({f: f for f in _TRUTH}, "losses")).alias("truth"), F.expr(_predicted()).alias("pred")
@@ -123,6 +155,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, k, text: the truth as form text, in layouts by k."""
+    return kept(spark, sf_dir, "forms", lambda: _form_text(spark, sf_dir))
+
+
+def _form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda f: f"if(k % 4 = 0, concat(date_format({f}, 'MM/dd/yy'), ' (', date_format({f}, 'dd/MM/yy'), ')'), date_format({f}, 'MM/dd/yyyy'))"
     limits = "if(k % 7 = 0, array(concat('Limits    ', per_occurrence_limit, '/', aggregate_limit)), array(concat('Per-Occurrence    $', format_number(per_occurrence_limit, 0), '    each'), concat('Aggregate    ', aggregate_limit)))"
     lines = (

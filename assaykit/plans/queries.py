@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import formtext
 from ..functions import normalize as N
 from ..operators import metrics, routing, scoring, stability, usage, worklist
 from ..sources import io, validate
 from ..sources.io import scratch
-from ..sources.schemas import ALL_FIELDS, AMOUNT_FIELDS, CONDITIONS, DATE_FIELDS, EXTRACTION, N_RUNS, RAW_EXTRACTION, RUNS, SCALAR_FIELDS, TIERS
+from ..sources.schemas import ALL_FIELDS, AMOUNT_FIELDS, CONDITIONS, DATE_FIELDS, EXTRACTION, N_RUNS, SCALAR_FIELDS, TIERS
 from ..streaming import ingest
 from . import fixtures
 from .fixtures import BLANK, variant
@@ -131,20 +130,22 @@ _CALLS = """
 cl AS (
   SELECT event_id AS call_id, user_id % 7 AS run_id, ts, event_type AS provider, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 100 + event_id * 37 % 5000 END AS prompt_tokens, 10 + event_id * 11 % 700 AS completion_tokens,
     CASE event_id % 5 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'claude-haiku-4-5' WHEN 3 THEN 'local-pdf-parser' ELSE 'some-other-model' END AS model,
-    CASE event_id % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 2.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS pin, CASE event_id % 5 WHEN 0 THEN 0.6 WHEN 1 THEN 10.0 WHEN 2 THEN 5.0 WHEN 3 THEN 0.0 ELSE 5.0 END::DOUBLE AS pout
+    CASE event_id % 5 WHEN 0 THEN 15 WHEN 1 THEN 250 WHEN 2 THEN 100 WHEN 3 THEN 0 ELSE 100 END::BIGINT AS pin, CASE event_id % 5 WHEN 0 THEN 60 WHEN 1 THEN 1000 WHEN 2 THEN 500 WHEN 3 THEN 0 ELSE 500 END::BIGINT AS pout
   FROM events),
-co AS (SELECT *, (coalesce(prompt_tokens, 0) * pin + completion_tokens * pout) / 1e6 AS cost FROM cl)"""
+co AS (SELECT *, coalesce(prompt_tokens, 0) * pin + completion_tokens * pout AS cost FROM cl)"""  # whole 1e-8 USD: sums are exact
 
-# ---------------------------------------------------------------- helpers
 
+def _usd(cost: str) -> str:
+    """USD to six places of a sum of costs."""
+    return f"((({cost}) + 50) // 100)::DOUBLE / 1e6::DOUBLE"
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded: means depend on the order of adding in their last bits."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
+# ---------------------------------------------------------------- helpers
 
-def _round_sql(body: str, columns: str) -> str:
-    return f"{body} SELECT {columns}"
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles and decimals rounded: means depend on the order of adding in their last bits."""
+    return df.select(*[F.round(c, digits).cast("double").alias(c) if t == "double" or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
 QUERIES: dict = {}
@@ -195,14 +196,15 @@ def normalized_values(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT d.doc_id, b.item_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS b
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
-SELECT doc_id, item_id, len(a)::INT AS n_tokens, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS overlap FROM d""")
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))
+SELECT doc_id, item_id, len(a)::INT AS n_tokens, round(CASE WHEN len(a) = 0 AND coalesce(len(b), 0) = 0 THEN 1 WHEN len(a) = 0 OR coalesce(len(b), 0) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS overlap FROM d""")
 def document_overlap(spark, sf_dir):
-    """C7, C8 over real texts: each document against one benchmark item."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    """C7, C8 over real texts: each document against one item of the whole benchmark, by their ids."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
+    n = (items.agg(F.max("item_id")).first()[0] or 0) + 1
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % n).alias("of_item"))
     tokens = F.coalesce(F.size(F.array_distinct(N.normalize_text_tokens("text"))), F.lit(0))
-    return docs.join(items, "item_id").select("doc_id", "item_id", tokens.alias("n_tokens"), F.round(N.token_overlap("text", "item"), 6).alias("overlap"))
+    return docs.join(items, F.col("of_item") == F.col("item_id"), "left").select("doc_id", "item_id", tokens.alias("n_tokens"), F.round(N.token_overlap("text", "item"), 6).alias("overlap"))
 
 
 # ---------------------------------------------------------------- D: scores
@@ -305,13 +307,7 @@ def majority_votes(spark, sf_dir):
     shown = []
     for f in _VOTED:
         c = stability.canonical_value(f, F.col(f"majority.{f}"))
-        if f == "effective_date":
-            c = F.coalesce(c["iso"], F.when(F.size(c["candidates"]) > 0, F.array_join(c["candidates"], ",")))
-        elif f == "named_insured":
-            c = F.array_join(c, " ")
-        elif f in AMOUNT_FIELDS:
-            c = c.cast("bigint")
-        shown.append(c.cast("string").alias(f))
+        shown.append((c.cast("bigint") if f in AMOUNT_FIELDS else c).cast("string").alias(f))
     return votes.select("doc_id", "condition", *shown)
 
 
@@ -366,7 +362,7 @@ def stability_report(spark, sf_dir):
     return _rounded(io.load_stability(spark, path)[1], 3)
 
 
-@query(f"WITH {LONG}, {_PF}, {_CALLS.strip()} SELECT (SELECT count(*) FROM s) AS n_docs, (SELECT round(avg(aggregate_accuracy), 6) FROM s) AS headline, round(min(accuracy), 6) AS min_field, round(max(accuracy), 6) AS max_field, (SELECT round(sum(cost), 6) FROM co) AS spend_usd, round(sum(accuracy), 6) AS field_sum FROM pf")
+@query(f"WITH {LONG}, {_PF}, {_CALLS.strip()} SELECT (SELECT count(*) FROM s) AS n_docs, (SELECT round(avg(aggregate_accuracy), 6) FROM s) AS headline, round(min(accuracy), 6) AS min_field, round(max(accuracy), 6) AS max_field, (SELECT {_usd("sum(cost)")} FROM co) AS spend_usd, round(sum(accuracy), 6) AS field_sum FROM pf")
 def run_summary(spark, sf_dir):
     """The summary of a run, read back."""
     scored = _scored(spark, sf_dir)
@@ -419,14 +415,17 @@ _RESULT = f"""WITH {BASE}, {_RUN_ROWS} SELECT doc_id, condition, r::INT AS run_i
 
 def _results(spark, sf_dir):
     """Runs as the log has them: typed where the raw value is plain."""
-    runs = fixtures.runs(spark, sf_dir)
+    return fixtures.kept(spark, sf_dir, "results", lambda: _typed_runs(fixtures.runs(spark, sf_dir)))
+
+
+def _typed_runs(runs: DataFrame) -> DataFrame:
     pred = F.col("pred")
     cells = []
     for f in EXTRACTION.names:
         if f == "loss_history":
             cells.append(F.transform(pred[f], lambda e: F.struct(e["date"].cast("date").alias("date"), e["cause"].alias("cause"), e["paid_amount"].cast("double").alias("paid_amount"), e["status"].alias("status"))).alias(f))
         elif f in DATE_FIELDS:
-            cells.append(N.normalize_date(pred[f])["iso"].cast("date").alias(f))
+            cells.append(N.date_iso(pred[f]).cast("date").alias(f))
         elif f in AMOUNT_FIELDS:
             cells.append(N.normalize_amount(pred[f]).alias(f))
         elif f == "year_built":
@@ -458,7 +457,7 @@ def streamed_results(spark, sf_dir):
     ingest.ingest(spark, log, sink, state).awaitTermination()
     io.append_results(rows.where("run_index >= 3"), log)
     ingest.ingest(spark, log, sink, state).awaitTermination()
-    return _shown(spark.read.schema(RUNS).parquet(sink))
+    return _shown(ingest.stored(spark, sink))
 
 
 @query(f"""WITH {BASE}, {_RUN_ROWS}, w AS (SELECT * FROM rr WHERE r = 0 AND ((k % 3 <> 0 AND c = 1) OR (k % 3 = 0 AND k % 2 = 0 AND c = 0)))
@@ -536,21 +535,22 @@ def token_estimates(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", usage.token_estimate("text").alias("tokens"))
 
 
-@query(f"WITH {_CALLS} SELECT call_id, model, round(cost, 9) AS cost FROM co")
+@query(f"WITH {_CALLS} SELECT call_id, model, cost::DOUBLE / 1e8::DOUBLE AS cost FROM co")
 def call_costs(spark, sf_dir):
     """I2."""
     return _rounded(usage.with_cost(fixtures.calls(spark, sf_dir)).select("call_id", "model", "cost"), 9)
 
 
-@query(f"WITH {_CALLS} SELECT provider, model, (grouping(provider) * 2 + grouping(model))::INT AS level, round(sum(cost), 6) AS cost, count(*) AS n_calls FROM co GROUP BY ROLLUP (provider, model)")
+@query(f"WITH {_CALLS} SELECT provider, model, (grouping(provider) * 2 + grouping(model))::INT AS level, {_usd("sum(cost)")} AS cost, count(*) AS n_calls FROM co GROUP BY ROLLUP (provider, model)")
 def spend_totals(spark, sf_dir):
     """I3."""
     return _rounded(usage.spend(usage.with_cost(fixtures.calls(spark, sf_dir))))
 
 
 def _audit_sql(part: str, cap: float) -> str:
+    units = round(cap * 10**8)
     return f"""WITH {_CALLS}, q AS (SELECT call_id, run_id, cost, sum(cost) OVER ({part} ORDER BY ts, call_id) AS running FROM co)
-SELECT call_id, run_id, round(running, 6) AS running, CASE WHEN running <= {cap} + 1e-9 THEN 'charged' WHEN running - cost <= {cap} + 1e-9 THEN 'tripped' ELSE 'skipped' END AS status FROM q"""
+SELECT call_id, run_id, {_usd("running")} AS running, CASE WHEN running <= {units} THEN 'charged' WHEN running - cost <= {units} THEN 'tripped' ELSE 'skipped' END AS status FROM q"""
 
 
 def _audit(spark, sf_dir, cap, run):

@@ -21,6 +21,7 @@ TEXT_THRESHOLD = 0.8
 N_RUNS = 5
 
 _TYPES = {f: T.DateType() for f in DATE_FIELDS} | {f: T.DoubleType() for f in AMOUNT_FIELDS} | {"year_built": T.IntegerType()}
+#: The fields of a record in their order.
 _ORDER = (
     "named_insured", "mailing_address", "effective_date", "expiration_date", "industry_code", "industry_code_type", "business_description",
     "per_occurrence_limit", "aggregate_limit", "deductible", "building_value", "contents_value", "year_built", "construction_type",
@@ -35,12 +36,3 @@ TRUTH = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("di
 RUNS = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("condition", T.StringType()), T.StructField("run_index", T.IntegerType()), T.StructField("extraction", EXTRACTION)]
 )
-
-
-def as_raw(extraction, schema: T.StructType = EXTRACTION):
-    """An extraction struct with every scalar as a string, as normalizers read it."""
-    from pyspark.sql import functions as F
-
-    scalars = [extraction[f].cast("string").alias(f) for f in _ORDER]
-    loss = F.transform(extraction["loss_history"], lambda e: F.struct(*[e[f].cast("string").alias(f) for f in LOSS_FIELDS]))
-    return F.struct(*scalars, F.coalesce(loss, F.array().cast(T.ArrayType(RAW_LOSS))).alias("loss_history"))

@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.normalize import col, strip
+from ..functions.normalize import col, let, strip
 from .schemas import AMOUNT_FIELDS, CODE_TYPES, DATE_FIELDS, EXTRACTION, LOSS, LOSS_FIELDS, RAW_LOSS
 
 _STRINGS = T.StructType([*(T.StructField(f, T.StringType()) for f in EXTRACTION.names if f != "loss_history"), T.StructField("loss_history", T.ArrayType(T.StringType()))])
+#: Fixed value: JSON within a fence.
+_FENCE = r"```(?:json)?\s*([\s\S]*?)```"
 _NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 
 
 def json_text(text: Column | str) -> Column:
     """The content of the first ``` fence, else the whole text; stripped."""
     text = strip(text)
-    fence = r"```(?:json)?\s*([\s\S]*?)```"
-    return strip(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text))
+    return strip(F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text))
 
 
-def coerce(json: Column) -> Column:
-    """JSON as a struct of strings: empty strings null, missing loss_history [], events that are no objects dropped."""
-    raw = F.from_json(json, _STRINGS)
+def coerce(raw: Column) -> Column:
+    """A struct of strings (of _STRINGS): empty strings null, missing loss_history [], events that are no objects dropped."""
     cells = [F.when(raw[f] != "", raw[f]).alias(f) for f in EXTRACTION.names if f != "loss_history"]
     events = F.filter(F.coalesce(raw["loss_history"], F.array().cast("array<string>")), lambda e: F.ltrim(e).startswith("{"))
+    known = F.array(*map(F.lit, LOSS_FIELDS))
 
     def event(e: Column) -> Column:
-        parsed = F.from_json(e, RAW_LOSS)
-        return F.struct(*[F.when(parsed[f] != "", parsed[f]).alias(f) for f in LOSS_FIELDS], F.array_except(F.json_object_keys(e), F.array(*map(F.lit, LOSS_FIELDS))).alias("unknown"))
+        unknown = F.array_except(F.json_object_keys(e), known).alias("unknown")
+        return let(F.from_json(e, RAW_LOSS), lambda x: F.struct(*[F.when(x[f] != "", x[f]).alias(f) for f in LOSS_FIELDS], unknown))
 
     return F.struct(*cells, F.transform(events, event).alias("loss_history"))
 
@@ -64,9 +65,10 @@ def validate(outputs: DataFrame, text: str = "text") -> DataFrame:
     is neither of the two. A number for a string field is read as its text.
     """
     json = json_text(col(text))
-    data = coerce(F.col("_json"))
     fields = [f for f in EXTRACTION.names if f != "loss_history"]
-    rows = outputs.withColumn("_json", json).withColumn("_keys", F.json_object_keys("_json")).withColumn("_raw", data)
+    # each column is worked out once: what is parsed must not be mixed with the many uses of its fields
+    rows = outputs.withColumn("_json", json).withColumn("_keys", F.json_object_keys("_json")).withColumn("_parsed", F.from_json("_json", _STRINGS))
+    rows = rows.withColumn("_raw", coerce(F.col("_parsed")))
     raw = F.col("_raw")
     unknown = F.array_except("_keys", F.array(*map(F.lit, EXTRACTION.names)))
     wrong = [F.when(raw[f].isNotNull() & typed(f, raw[f]).isNull(), F.lit(f)) for f in (*DATE_FIELDS, *AMOUNT_FIELDS, "year_built")]
@@ -81,4 +83,4 @@ def validate(outputs: DataFrame, text: str = "text") -> DataFrame:
     )
     losses = F.transform(raw["loss_history"], lambda e: F.struct(*[typed(f, e[f]).alias(f) for f in LOSS_FIELDS]))
     extraction = F.struct(*[typed(f, raw[f]).alias(f) for f in fields], losses.cast(T.ArrayType(LOSS)).alias("loss_history"))
-    return rows.withColumn("error", error).withColumn("valid", F.col("error").isNull()).withColumn("extraction", F.when(F.col("valid"), extraction)).drop("_json", "_keys", "_raw")
+    return rows.withColumn("error", error).withColumn("valid", F.col("error").isNull()).withColumn("extraction", F.when(F.col("valid"), extraction)).drop("_json", "_keys", "_parsed", "_raw")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import formtext
 from assaykit.sources import io, validate
-from assaykit.sources.schemas import RUNS
 from assaykit.streaming import ingest
 
 
@@ -35,10 +34,10 @@ def test_results_and_stream(spark, tmp_path):
     assert io.load_results(spark, str(log)).count() == 3
     for _ in range(2):
         ingest.ingest(spark, str(log), sink, str(tmp_path / "state")).awaitTermination()
-        assert spark.read.schema(RUNS).parquet(sink).count() == 2
+        assert ingest.stored(spark, sink).count() == 2
     (log / "2.json").write_text(line(1) + "\n" + line(2) + "\n")
     ingest.ingest(spark, str(log), sink, str(tmp_path / "state2")).awaitTermination()  # all again, as after a lost state
-    assert spark.read.schema(RUNS).parquet(sink).count() == 3
+    assert ingest.stored(spark, sink).count() == 3
 
 
 OUTPUTS = [
