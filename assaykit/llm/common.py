@@ -6,10 +6,11 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +117,20 @@ def position(df: DataFrame, name: str) -> int:
     return [c.lower() for c in df.columns].index(name.lower())
 
 
-def schema_with(df: DataFrame, *more: str) -> str:
-    """df's columns and more ones ("name type") as SQL text."""
-    return ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+def with_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array]], added: dict[str, str]) -> DataFrame:
+    """df with the columns added (name -> type), which work makes of each batch.
+
+    Columns go through it by place, as mapInArrow takes no names with dots in them.
+    """
+    names = [f"c{i}" for i in range(len(df.columns) + len(added))]
+    kinds = [*(f.dataType.simpleString() for f in df.schema.fields), *added.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names=names)
+
+    plain = df.toDF(*names[: len(df.columns)])
+    return plain.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))).toDF(*df.columns, *added)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:

@@ -1,0 +1,142 @@
+"""Every format alone, twice inside other bytes, and cut off; linear sniffing; all columns of op5 against plain ones."""
+
+import gzip
+import hashlib
+import io
+import struct
+import time
+import wave
+import zipfile
+import zlib
+
+import duckdb
+import pytest
+
+from assaykit.llm import media
+from assaykit.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+def wav():
+    with wave.open(out := io.BytesIO(), "wb") as w:
+        w.setparams((1, 1, 8000, 0, "NONE", ""))
+        w.writeframes(b"abcdefgh")
+    return out.getvalue()
+
+
+def webp():
+    return b"RIFF" + struct.pack("<I", 4 + 8 + 10) + b"WEBPVP8 " + struct.pack("<I", 10) + b"0123456789"
+
+
+def png():
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def gif():
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x21\xf9\x04\0\0\0\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0;"
+
+
+def jpeg():
+    return b"\xff\xd8\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + b"\xff\xda" + struct.pack(">H", 4) + b"xx" + b"data\xff\0more\xff\xd0end" + b"\xff\xd9"
+
+
+def bmp():
+    return b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + bytes(36) + b"rgb0"
+
+
+def pdf():
+    return b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+
+
+def ogg():
+    page = lambda flag: b"OggS\0" + bytes([flag]) + bytes(20) + b"\x02\x05\x03" + b"12345678"
+    return page(2) + page(4)
+
+
+def crc(data, width, polynomial):
+    out = 0
+    for byte in data:
+        out ^= byte << width - 8
+        for _ in range(8):
+            out = (out << 1 ^ (polynomial if out >> width - 1 & 1 else 0)) & ((1 << width) - 1)
+    return out
+
+
+def flac(frames=3):
+    def frame(i):
+        head = bytes([0xFF, 0xF8, 0x69, 0x08, i, 15])  # 16 samples, one channel of 16 bits
+        head += bytes([crc(head, 8, 0x07)])
+        body = b"\x02" + b"".join(struct.pack(">h", 100 * i + k) for k in range(16))  # as they are
+        return head + body + struct.pack(">H", crc(head + body, 16, 0x8005))
+
+    parts = [frame(i) for i in range(frames)]
+    n = len(parts[0])
+    info = struct.pack(">HH", 16, 16) + n.to_bytes(3, "big") * 2 + (8000 << 44 | 15 << 36 | 16 * frames).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x84\0\0\x08" + bytes(8) + b"".join(parts)
+
+
+def zipped():
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        z.writestr("x", "abc" * 30)
+        z.comment = b"note"
+    return out.getvalue()
+
+
+def midi():
+    return b"MThd" + struct.pack(">IHHH", 6, 1, 2, 96) + (b"MTrk" + struct.pack(">I", 4) + b"\0\xff\x2f\0") * 2
+
+
+MADE = {
+    "audio/wav": wav, "image/webp": webp, "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/gzip": lambda: gzip.compress(b"abc" * 50, mtime=0), "image/bmp": bmp,
+    "application/pdf": pdf, "audio/ogg": ogg, "audio/flac": flac, "application/zip": zipped, "audio/midi": midi,
+}
+
+
+def test_all_formats_are_here():
+    assert set(MADE) == {kind for _, kind, _ in media.FORMATS}
+
+
+@pytest.mark.parametrize("kind", MADE)
+def test_format(kind):
+    one, other = MADE[kind](), wav()
+    assert media.sniff(one) == [(kind, 0, len(one))]
+    blob = b"...." + one + b"junk in between" + one + b"--" + other + b"end"
+    second = 4 + len(one) + 15
+    assert media.sniff(blob) == [(kind, 4, len(one)), (kind, second, len(one)), ("audio/wav", second + len(one) + 2, len(other))]
+    assert kind not in [k for k, at, _ in media.sniff(one[:-2]) if at == 0]
+
+
+def test_flac_leaves_what_follows():
+    one, other = flac(), wav()
+    assert media.sniff(b".." + one + other + b"." + other) == [("audio/flac", 2, len(one)), ("audio/wav", 2 + len(one), len(other)), ("audio/wav", 3 + len(one) + len(other), len(other))]
+
+
+@pytest.mark.parametrize("mark", [b"BM", b"%PDF-1", b"PK\x03\x04", b"\x1f\x8b\x08", b"RIFF", b"GIF89a", b"%PDF-1startxref%%EO"])
+def test_sniffing_is_linear(mark):
+    def seconds(n):
+        data = media.wav_of((mark * (n // len(mark) + 1))[:n])
+        began = time.time()
+        media.sniff(data)
+        return time.time() - began
+
+    seconds(50_000)
+    assert seconds(800_000) < 12 * seconds(200_000) + 0.5
+
+
+def test_columns_of_op5(spark):
+    got = {r.doc_id: r for r in Q.queries()["op5_media"](spark, SF).collect()}
+    texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        raw, r = (text or "").encode(), got[doc_id]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        with wave.open(out := io.BytesIO(), "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        stored = out.getvalue()
+        changes = sum(a != b for a, b in zip(payload, payload[1:]))
+        feature = f"audio/wav;corrected=true;n={len(payload)};sum={sum(payload)};peak={max(payload)};changes={changes};embedded=[]"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
