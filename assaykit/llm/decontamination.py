@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, written
+from .common import bounded_batches, position, quoted, table, unused, with_arrow, without, written
 
 THETA, GRAM, LEAST_PASSAGE = 0.35, 3, 64
 #: Items in a block, and cells (terms x blocks) of the table of block maxima; beyond, blocks are larger.
 BLOCK, MAX_CELLS = 4, 1 << 23
 #: Shares of n-grams that verify an item: of question and answer both, or of the question alone.
 BOTH, ALONE = 0.5, 0.8
+#: Passages of a text that are looked up at once: their table of terms by blocks is what memory holds.
+PASSAGES = 64
 #: Bytes of items that one index may hold; more are split over several indexes, applied in turn.
 MAX_INDEX_BYTES = 32 << 20
 K1, B = 1.2, 0.75
@@ -127,7 +129,13 @@ class Bm25Index:
 
     def retrieve(self, words: list[bytes], theta: float | None = None) -> Iterator[tuple[int, list[tuple[int, float]]]]:
         """(first word of a passage, its items): every passage that has some."""
-        theta = THETA if theta is None else theta
+        theta, half = THETA if theta is None else theta, self.half
+        for start in range(0, max(1, len(words)), PASSAGES * half):
+            # a piece has the part after its last passage's own too, which that passage needs
+            yield from self._in_piece(words[start : start + (PASSAGES + 1) * half], start, theta)
+
+    def _in_piece(self, words: list[bytes], start: int, theta: float) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """retrieve for the passages that begin in the first PASSAGES parts of words, which stand from start on in the text."""
         get, half = self.term.get, self.half
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         place = np.flatnonzero(ids >= 0)
@@ -135,7 +143,9 @@ class Bm25Index:
             return
         n, part = len(self.tops), place // half
         both = np.concatenate([part, part[part > 0] - 1])  # passage k has parts k and k + 1
-        cells = np.unique(both * n + np.concatenate([ids[place], ids[place][part > 0]]))
+        cells = np.unique((both * n + np.concatenate([ids[place], ids[place][part > 0]]))[both < PASSAGES])
+        if not len(cells):
+            return
         passage, term = cells // n, cells % n
         starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         bound = np.add.reduceat(self.tops[term], starts)
@@ -143,7 +153,7 @@ class Bm25Index:
         for k in np.flatnonzero(bound.max(1) >= theta - 1e-4):
             hits = self.search(term[starts[k] : ends[k]].tolist(), np.flatnonzero(bound[k] >= theta - 1e-4).tolist(), theta)
             if hits:
-                yield int(passage[starts[k]]) * half, hits
+                yield start + int(passage[starts[k]]) * half, hits
 
     @property
     def half(self) -> int:
@@ -185,22 +195,40 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matche
 
     Null or empty texts match nothing, nor do items without words; an empty benchmark matches
     nothing. Items with the same id are looked for each. Items are gathered in indexes of at most
-    MAX_INDEX_BYTES; all of them share the statistics of all items.
+    MAX_INDEX_BYTES, which share the statistics of all items and are applied one after the other, each
+    in a job of its own: one is in memory at a time.
     """
     bounded_batches(docs.sparkSession)
     answer = "answer" in benchmark.columns
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", *(["answer"] if answer else [])).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + (F.coalesce(F.octet_length("answer"), F.lit(0)) if answer else F.lit(0)) + 32)).first()[0] or 0
     parts = max(1, -(-size // MAX_INDEX_BYTES))
-    own = [c for c in docs.columns if c != name]
-    docs = docs.select(*own)
+    docs = without(docs, name)
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
     overall = _statistics(items, answer) if parts > 1 else lambda k: None
-    for k in range(parts):
+    spark = docs.sparkSession
+
+    def index(k: int):
         rows = items.where(F.col("part") == k).orderBy("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast(([(r.item_id, *question_answer(r.text, r.answer if answer else None)) for r in rows], overall(k)))
-        docs = _probe(docs, index, name, k > 0)
-    return docs
+        return spark.sparkContext.broadcast(([(r.item_id, *question_answer(r.text, r.answer if answer else None)) for r in rows], overall(k)))
+
+    if parts == 1:
+        return _probe(docs, index(0), name)
+    # an index at a time, in a job of its own: what it finds, by the text, is written, and its broadcast goes
+    found = None
+    for k in range(parts):
+        part = index(k)
+        of_part = _probe(docs.select("text").where(F.octet_length("text") > 0), part, "found").where(F.size("found") > 0)
+        of_part = written(of_part.select(F.unhex(F.md5("text")).alias("digest"), "found").dropDuplicates(["digest"]), "items-found", keep=True)
+        part.destroy()
+        found = of_part if found is None else found.union(of_part)
+    by_text = found.groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("found"))
+    digest, of, all_found = unused(docs, "digest"), unused(docs, "of_digest"), unused(docs, "all_found")
+    by_text = written(by_text.toDF(of, all_found), "items-by-text", keep=True)
+    joined = docs.withColumn(digest, F.unhex(F.md5("text"))).join(by_text, F.col(digest) == F.col(of), "left")
+    by_item = lambda a, b: F.when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)
+    matches = F.coalesce(F.array_sort(all_found, by_item), F.array().cast(MATCH)).alias(name)
+    return joined.select(*[F.col(quoted(c)) for c in docs.columns], matches)
 
 
 def _statistics(items: DataFrame, answer: bool) -> Callable[[int], tuple[int, float, int, dict[bytes, int]]]:
@@ -220,34 +248,30 @@ def _statistics(items: DataFrame, answer: bool) -> Callable[[int], tuple[int, fl
     return lambda k: (n, mean or 0.0, longest or 0, {bytes(r.word): r.n for r in df.where(F.array_contains("parts", k)).collect()})
 
 
-def _probe(docs: DataFrame, items, name: str, more: bool) -> DataFrame:
-    """Adds the matches of one index; with more, to those that are there."""
-    own, number = [c for c in docs.columns if c != name], items._jbroadcast.id()
-    text, before = docs.columns.index("text"), docs.columns.index(name) if more else -1
+def _probe(docs: DataFrame, items, name: str) -> DataFrame:
+    """docs with the matches of one index."""
+    number, text = items._jbroadcast.id(), position(docs, "text")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index_of(number, items)
-        for batch in batches:
-            out = []
-            for i, t in enumerate(batch.column(text).to_pylist()):
-                found = index.matches(words_of(t))
-                rows = [{"item_id": index.ids[j], "score": s, "question_overlap": q, "answer_overlap": a} for j, (s, q, a) in found.items()]
-                out.append(sorted((batch.column(before)[i].as_py() if more else []) + rows, key=lambda r: (r["item_id"], -r["score"])))
-            kept = [c for c, f in zip(batch.columns, batch.schema.names, strict=True) if f != name]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], names=[*own, name])
+    def probe(batch: pa.RecordBatch) -> list[pa.Array]:
+        index, out = _index_of(number, items), []
+        for t in batch.column(text).to_pylist():
+            rows = [{"item_id": index.ids[j], "score": s, "question_overlap": q, "answer_overlap": a} for j, (s, q, a) in index.matches(words_of(t)).items()]
+            out.append(sorted(rows, key=lambda r: (r["item_id"], -r["score"])))
+        return [pa.array(out, kind)]
 
-    fields = [f for f in docs.schema.fields if f.name != name]
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {MATCH}"]))
+    return with_arrow(docs, probe, {name: MATCH})
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item stands; their columns are as before."""
-    name = next(n for n in ("matches", "_matches", "__matches") if n not in docs.columns)
-    return benchmark_matches(docs, benchmark, name).where(F.size(name) == 0).drop(name)
+    """The documents in which no benchmark item stands; their columns are as before. Rows with a null text
+    or id stay, repeated rows are judged each, and an empty benchmark drops none."""
+    name = unused(docs, "matches")
+    return without(benchmark_matches(docs, benchmark, name).where(F.size(name) == 0), name)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every document with the items that stand in it; null and empty texts have none (see benchmark_matches)."""
     found = benchmark_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     best = lambda k: F.array_max(F.transform("matches", lambda m: m[k]))
     return found.select(

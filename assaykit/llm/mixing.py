@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import quoted, table, without, word_count, written
 
 BUCKETS, COARSE = 65536, 256
 
@@ -86,14 +86,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
     keyed = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"),
-        weight.alias("doc_weight"), F.struct(*docs.columns).alias("row"),
+        weight.alias("doc_weight"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"),
     )
-    narrow = written(keyed.drop("row"), "mix-sizes")
+    narrow = written(without(keyed, "row"), "mix-sizes")
     cuts = _cuts(narrow, weights, share, most)
     added = ["size", "source_size", "target", "copies"]
     if not keep_rows:
         return _copies(narrow, cuts, most).select("doc_id", "source", *added)
-    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added]
+    own = [F.col(f"row.{quoted(c)}") for c in docs.columns if c.lower() not in added]
     return _copies(keyed, cuts, most).select(*own, *added)
 
 
@@ -173,6 +173,8 @@ def _cuts(narrow: DataFrame, weights: Sequence[int], share: float, most: int) ->
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; for nulls, empty texts and ties see mix. targets works on one row a
+    source in one task: up to some hundred thousand sources."""
     mixed = mix(table(spark, sf_dir, "documents"), keep_rows=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

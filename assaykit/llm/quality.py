@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, position, table, unused, with_arrow, without
 
 #: Labelled rows that a model is fitted on, at most; of more, those with the smallest hash of the id.
 MAX_TRAIN = 20_000
@@ -153,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Tree
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "label")
-    got = known.mapInArrow(_features_of, "label int, x array<double>").limit(2 * max_rows).toPandas()
+    # documents may repeat: of more than twice the bound those with the least hash of all they are
+    some = known.mapInArrow(_features_of, "label int, x array<double>").orderBy(F.xxhash64("x", "label"), "x", "label").limit(2 * max_rows)
+    got = some.toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     y = got["label"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the order of arrival doesn't count
@@ -163,25 +165,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Tree
 def score_documents(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
     """docs with the model's score of each whole text; a column of that name is replaced. Null texts score as empty ones."""
     bounded_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c != name]
-    docs = docs.select(*own)
-    text = own.index("text")
+    docs = without(docs, name)
+    text = position(docs, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*own, name])
+    def score(batch: pa.RecordBatch) -> list[pa.Array]:
+        x = np.array([features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
+        return [pa.array(model.score(x), pa.float64())]
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"]))
+    return with_arrow(docs, score, {name: "double"})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model, fitted on the labels, does not reject; their columns are as before."""
-    (name,) = [n for n in ("score", "_score", "__score") if n not in docs.columns][:1]
-    return score_documents(docs, train(docs, labels), name).where(F.col(name) >= CUTOFF).drop(name)
+    """The documents that the model, fitted on the labels, does not reject; their columns are as before.
+
+    A null text is judged as an empty one; rows with a null id and repeated rows are judged each.
+    Without labels of both kinds all have one score and stay or go together. An empty table gives none.
+    """
+    name = unused(docs, "score")
+    return without(score_documents(docs, train(docs, labels), name).where(F.col(name) >= CUTOFF), name)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """The score of every document: null texts as empty ones, repeated rows each, null ids never held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)

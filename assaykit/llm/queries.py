@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import decontamination, licenses, media, minhash, mixing, quality, substrings, tokens, url_filter, warc
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
-    "op1_quality": "quality",
-    "op2_warc": "warc",
-    "op3_url_filter": "url_filter",
-    "op4_licenses": "licenses",
-    "op5_media": "media",
-    "op6_substrings": "substrings",
-    "op7_token_orc": "tokens",
-    "op8_decontamination": "decontamination",
-    "op9_minhash": "minhash",
-    "op10_mixing": "mixing",
+    "op1_quality": quality,
+    "op2_warc": warc,
+    "op3_url_filter": url_filter,
+    "op4_licenses": licenses,
+    "op5_media": media,
+    "op6_substrings": substrings,
+    "op7_token_orc": tokens,
+    "op8_decontamination": decontamination,
+    "op9_minhash": minhash,
+    "op10_mixing": mixing,
 }
 #: query -> name of its SQL in its module, where SQL can express it.
 SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL"}
 
 
-def _module(query: str):
-    return import_module(f"{__package__}.{MODULES[query]}")
-
-
 def queries() -> dict:
-    return {q: getattr(_module(q), q) for q in MODULES}
+    return {q: getattr(MODULES[q], q) for q in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q: getattr(_module(q), name) for q, name in SQL.items()}
+    return {q: getattr(MODULES[q], name) for q, name in SQL.items()}

@@ -15,7 +15,7 @@ ROWS = [
     (5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "en", "a", 5), (6, "released under the MIT License", "en", "b", 1), (6, "released under the MIT License", "en", "b", 1), (7, " \t\n", "xx", "c", 3),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["score", "matches", "size", "target", "copies", "u", "kept_id", "places", "sniffed_type", "id", "digest", "part", "host", "rule", "label", "row", "whole"]
+CLASH = ["Score", "Matches", "all_found", "size", "target", "copies", "u", "kept_id", "places", "sniffed_type", "id", "digest", "part", "host", "rule", "label", "row", "whole"]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    return docs.select("*", *[F.lit("x").alias(c) for c in CLASH])
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASH], F.lit("x").alias("a.b"))
 
 
 def labels(spark):
@@ -99,7 +99,8 @@ def test_media(spark, clashing):
         assert got[doc_id].payload_sha256 == hashlib.sha256(raw).hexdigest()
     assert got[1].media_sha256 == got[5].media_sha256 and got[1].feature == got[5].feature
     assert media.media_digest(clashing.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, None), (b"", "a"), (media.wav_of(b"abc"), "image/png")], "media binary, declared_type string").withColumn("corrected", F.lit(1))
+    odd = spark.createDataFrame([(None, None), (b"", "a"), (media.wav_of(b"abc"), "image/png")], "media binary, declared_type string").withColumn("Corrected", F.lit(1)).withColumn("a.b", F.lit(2))
+    assert media.sniff_media(odd).columns == ["media", "declared_type", "a.b", "sniffed_type", "corrected", "embedded"]
     assert [(r.sniffed_type, r.corrected) for r in media.sniff_media(odd).collect()] == [(None, False), (None, False), ("audio/wav", True)]
 
 
