@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import decontamination, minhash, mixing, quality, tokens
-from assaykit.llm.common import table, written
+from assaykit.llm.common import intermediates, quoted, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or twice."""
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole"))
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"))
     taken = mixing.mix(whole).where("copies > 0")
     return taken.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")
 
@@ -48,13 +48,19 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: Trees, signatures and tokenizers have no SQL. Tests check operators of the stages; none runs all stages
-#: in turn against plain versions.
+#: Trees, signatures and tokenizers have no SQL. A test runs all stages against plain versions of each in turn.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. When a stage is written, what it has worked with goes; stages' tables stay, for
+    whoever looks into a run, until the shared folder is cleared.
+
+    Documents may have nulls in any column and more columns than these; what becomes of them is said in
+    each stage's operator. An empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with intermediates(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", keep=True)
     return docs
