@@ -6,8 +6,11 @@ what they normalize to. So it checks parsing, scoring and rollups at once.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formtext
 from ..functions import normalize as N
@@ -216,6 +219,26 @@ def field_scores(spark, sf_dir):
     return scoring.field_details(fixtures.pairs(spark, sf_dir), ["doc_id"]).drop("detail")
 
 
+#: field -> variants whose raw prediction is null, and those where it is not even if the truth is.
+_RAW_NULL = {f: ((3,), ()) for f in DATE_FIELDS} | {f: ((2,), (5,)) for f in AMOUNT_FIELDS} | {
+    "industry_code": ((1,), ()), "industry_code_type": ((1,), ()), "year_built": ((2,), ()), "named_insured": ((2,), ()), "mailing_address": ((1,), ()), "business_description": ((2,), ()), "construction_type": ((2,), ()),
+}
+
+
+def _raw_missing(f: str) -> str:
+    null, other = _RAW_NULL[f]
+    return f"{BLANK} OR {_case(f, {i: 'true' for i in null} | {i: 'false' for i in other}, f'{f} IS NULL')}"
+
+
+_RAW_CELLS = ", ".join(f"{{'field': '{f}', 'truth': {f}::VARCHAR, 'missing': {_raw_missing(f)}}}" for f in SCALAR_FIELDS)
+
+
+@query(f"WITH {BASE}, {_ONE_ROW}, x AS (SELECT doc_id, unnest([{_RAW_CELLS}]) AS c FROM rr) SELECT doc_id, c.field AS field, c.truth AS truth, c.missing AS missing FROM x")
+def raw_cells(spark, sf_dir):
+    """Raw values in long form."""
+    return scoring.long_fields(fixtures.pairs(spark, sf_dir), ["doc_id"]).select("doc_id", "field", "truth", F.col("pred").isNull().alias("missing"))
+
+
 @query(f"WITH {SCORED} SELECT doc_id, round(scalar_accuracy, 6) AS scalar_accuracy, round(aggregate_accuracy, 6) AS aggregate_accuracy, ok_loss_history FROM s")
 def document_scores(spark, sf_dir):
     """D6."""
@@ -297,6 +320,14 @@ def flip_rates_long(spark, sf_dir):
     return _rounded(stability.flips_long(fixtures.runs(spark, sf_dir)))
 
 
+@query(f"""WITH {RUN_CELLS}, g AS (SELECT condition, field, doc_id, count(*) AS n, count(DISTINCT canon) AS n_values FROM u WHERE NOT (condition = 'temp_default' AND (k + r) % 9 = 0) GROUP BY ALL)
+SELECT condition, field, round(avg((n_values > 1)::INT::DOUBLE), 6) AS flip_rate, count(*) AS n_docs FROM g WHERE n >= {N_RUNS} GROUP BY condition, field""")
+def flip_rates_of_complete(spark, sf_dir):
+    """some documents lack a run of one condition and are left out there."""
+    runs = fixtures.runs(spark, sf_dir).where(~((F.col("condition") == "temp_default") & ((F.col("k") + F.col("run_index")) % 9 == 0)))
+    return _rounded(stability.flip_rates(runs.drop("k")))
+
+
 _VOTED = ("year_built", "industry_code", "named_insured", "per_occurrence_limit", "effective_date")
 
 
@@ -353,6 +384,29 @@ def report_routing_table(spark, sf_dir):
     return back
 
 
+@query(f"""WITH {POLICY}, {SUMMARY}, one AS (SELECT *, {_TIER} AS tier FROM u WHERE condition = 'temp_0' AND r = 0)
+SELECT 'headline' AS name, '' AS row, round(avg(ok::INT::DOUBLE), 3) AS value FROM one
+UNION ALL SELECT 'per_field', field, round(avg(ok::INT::DOUBLE), 3) FROM one GROUP BY field
+UNION ALL SELECT 'per_tier', tier, round(avg(ok::INT::DOUBLE), 3) FROM one GROUP BY tier
+UNION ALL SELECT 'flips', condition || '|' || field, round(flip_rate, 3) FROM fl
+UNION ALL SELECT 'majority', condition, round(avg(majority), 3) FROM sd JOIN md USING (doc_id, condition) GROUP BY condition
+UNION ALL SELECT 'routing', field || '|' || class, round(flip_rate, 3) FROM po""")
+def report_values(spark, sf_dir):
+    """A value of each row of the report's six tables."""
+    truth, runs, scored = fixtures.truth(spark, sf_dir), fixtures.runs(spark, sf_dir).drop("k"), _scored(spark, sf_dir)
+    flips, fields = stability.flip_rates(runs), metrics.per_field(scored)
+    tables = routing.report_tables(metrics.headline(scored), fields, metrics.per_tier(scored), flips, stability.condition_summary(truth, runs), routing.build_policy(fields, flips))
+    shown = {
+        "headline": (F.lit(""), "accuracy"), "per_field": (F.col("field"), "accuracy"), "per_tier": (F.col("difficulty_tier"), "accuracy"),
+        "flips": (F.concat_ws("|", "condition", "field"), "flip_rate"), "majority": (F.col("condition"), "majority"), "routing": (F.concat_ws("|", "field", "class"), "flip_rate"),
+    }
+    rows = [tables[name].select(F.lit(name).alias("name"), row.alias("row"), F.col(value).alias("value")) for name, (row, value) in shown.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.union(more)
+    return out
+
+
 @query(f"WITH {VOTES}, {FLIPS} SELECT condition, field, round(flip_rate, 3) AS flip_rate, n_docs FROM fl")
 def stability_report(spark, sf_dir):
     """The flip table of the written stability report, read back."""
@@ -439,6 +493,15 @@ def _shown(results: DataFrame) -> DataFrame:
     return results.select("doc_id", "condition", "run_index", "key", F.size("extraction.loss_history").alias("n_losses"), "extraction.year_built", "extraction.industry_code_type")
 
 
+@query(_RESULT.replace("SELECT doc_id, condition, r::INT AS run_index, doc_id || '|' || condition || '|' || r AS key,", "SELECT doc_id,") + " WHERE c = 0 AND r = 0")
+def stored_predictions(spark, sf_dir):
+    """One run's predictions as JSON lines, read back."""
+    path = scratch(spark, "predictions")
+    io.write_predictions(worklist.of_condition(_results(spark, sf_dir)), path)
+    back = spark.read.schema(T.StructType([T.StructField("doc_id", T.StringType()), *EXTRACTION.fields])).json(path)
+    return back.select("doc_id", F.size("loss_history").alias("n_losses"), "year_built", "industry_code_type")
+
+
 @query(_RESULT)
 def result_log(spark, sf_dir):
     """Results appended as JSON lines in two parts, the second without what is done, and read back."""
@@ -575,3 +638,41 @@ def spend_audit_all(spark, sf_dir):
 def rate_audit(spark, sf_dir):
     """I5."""
     return usage.rate_audit(fixtures.calls(spark, sf_dir), rpm=2).select("call_id", "provider", "in_window", "over")
+
+
+# ---------------------------------------------------------------- A: corpora of small files
+
+
+def _save_files(rows: DataFrame, root: str) -> None:
+    """Writes each row's content (bytes) under its path below root, in tasks."""
+
+    def save(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}", compression=None) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", F.col("content").cast("binary")).mapInArrow(save, "n long").write.format("noop").mode("overwrite").save()
+
+
+@query("""SELECT 'c' || c_custkey AS doc_id, c_name AS named_insured, c_custkey % 5 AS seed, n_name AS manifest_name, CASE WHEN c_custkey % 4 <> 0 THEN 1900 + c_nationkey END::INT AS year_built
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0""")
+def corpus_files(spark, sf_dir):
+    """A1-A4: a corpus of one record and, for two of three, one PDF a folder; predictions by file name; a manifest as one array."""
+    root = scratch(spark, "corpus")
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("id", F.concat(F.lit("c"), F.col("c_custkey")))
+    record = F.to_json(F.struct(F.col("id").alias("doc_id"), F.lit(TIERS[0]).alias("difficulty_tier"), (F.col("c_custkey") % 5).alias("seed"), F.struct(F.col("c_name").alias("named_insured")).alias("extraction")), {"pretty": "true"})
+    predicted = F.to_json(F.struct((F.lit(1900) + F.col("c_nationkey")).alias("year_built")), {"pretty": "true"})
+    records = people.select(F.concat(F.lit("docs/"), "id", F.lit("/ground_truth.json")).alias("path"), record.alias("content"))
+    pdfs = people.where("c_custkey % 3 <> 0").select(F.concat(F.lit("docs/"), "id", F.lit("/document.pdf")).alias("path"), F.lit("%PDF-1.4").alias("content"))
+    preds = people.where("c_custkey % 4 <> 0").select(F.concat(F.lit("predictions/"), "id", F.lit(".json")).alias("path"), predicted.alias("content"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")), {"pretty": "true"}).alias("content"))
+    _save_files(records.union(pdfs).union(preds).union(nations.select(F.lit("manifest.json").alias("path"), "content")), root)
+    truth, found = io.load_truth(spark, f"{root}/docs"), io.load_predictions(spark, f"{root}/predictions").withColumnRenamed("extraction", "pred")
+    manifest = io.load_manifest(spark, f"{root}/manifest.json", "n_nationkey int, n_name string")
+    nation = people.select(F.col("id").alias("doc_id"), "c_nationkey")
+    joined = truth.join(found, "doc_id", "left").join(nation, "doc_id").join(manifest, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("doc_id", "extraction.named_insured", "seed", F.col("n_name").alias("manifest_name"), "pred.year_built")
