@@ -11,19 +11,22 @@ from __future__ import annotations
 import mmap
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded_batches, position, table, with_arrow, without
 
-#: Entries' bytes up to which the array is sent to the executors; larger lists are joined.
+#: Entries' bytes up to which one array is sent to all executors; larger lists are many arrays.
 MAX_ARRAY_BYTES = 64 << 20
+#: About this many bytes of entries are in each of many arrays, and in this many places each.
+SHARD_BYTES, SALTS = 8 << 20, 8
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,48 +94,108 @@ def candidates(host: str, path: str, labels: Iterable[int], lengths: Iterable[in
     return [".".join(parts[len(parts) - n :]) + path[:m] for n in labels if n <= len(parts) for m in lengths if m <= len(path)]
 
 
+#: Arrays that this Python worker has mapped, by the lookup they belong to; the oldest goes first.
+_mapped: dict[str, DigestArray] = {}
+
+
+def _once_a_worker(key: str, packed: Broadcast) -> DigestArray:
+    if key not in _mapped:
+        while len(_mapped) > 3:
+            _mapped.pop(next(iter(_mapped)))
+        _mapped[key] = DigestArray.mapped(packed.value)
+    return _mapped[key]
+
+
 def longest_match(urls: DataFrame, entries: DataFrame, name: str) -> DataFrame:
     """urls (with host and path) with the column name: the longest entry (host + path) that fits, else null.
 
     entries has host and path. Of the same length the smaller string wins. Nulls in urls' host
     or path count as empty; entries with a null in either are left out; an empty list fits none.
-    Up to MAX_ARRAY_BYTES of entries are probed as a digest array; beyond, distinct hosts and
-    paths are joined with the entries on their candidates.
+    Up to MAX_ARRAY_BYTES, entries are one digest array that all executors map; beyond, they are
+    one array a range of digests (_sharded), and candidates come to the arrays.
     """
-    spark = urls.sparkSession
     entries = entries.select("host", "path").dropna().distinct()
     size = entries.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 24)).first()[0] or 0
-    schema = T.StructType([*urls.schema.fields, T.StructField(name, T.StringType())])
-    if size <= MAX_ARRAY_BYTES:
-        packed = spark.sparkContext.broadcast(DigestArray.pack((r.host, r.path) for r in entries.toLocalIterator()))
-        h, p = urls.columns.index("host"), urls.columns.index("path")
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            array = DigestArray.mapped(packed.value)
-            for batch in batches:
-                tries = [array.candidates(a or "", b or "") for a, b in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist(), strict=True)]
-                hit = iter(array.find([c for t in tries for c in t]).tolist())
-                best = [min((c for c in t if next(hit)), key=lambda c: (-len(c), c), default=None) for t in tries]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string())], names=schema.names)
-
-        return urls.mapInArrow(probe, schema)
+    urls = without(urls, name)
+    if size > MAX_ARRAY_BYTES:
+        return _sharded(urls, entries, name, (size // SHARD_BYTES).bit_length())
+    packed, key = urls.sparkSession.sparkContext.broadcast(DigestArray.pack((r.host, r.path) for r in entries.toLocalIterator())), uuid.uuid4().hex
+    h, p = position(urls, "host"), position(urls, "path")
+
+    def probe(batch: pa.RecordBatch) -> list[pa.Array]:
+        array = _once_a_worker(key, packed)
+        tries = [array.candidates(a or "", b or "") for a, b in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist(), strict=True)]
+        hit = iter(array.find([c for t in tries for c in t]).tolist())
+        return [pa.array([min((c for c in t if next(hit)), key=lambda c: (-len(c), c), default=None) for t in tries], pa.string())]
+
+    return with_arrow(urls, probe, {name: "string"})
+
+
+def _sharded(urls: DataFrame, entries: DataFrame, name: str, bits: int) -> DataFrame:
+    """longest_match with an array for each value of the digests' first bits.
+
+    Distinct pairs of host and path send their candidates to the arrays. Every array stands in
+    SALTS places, among which pairs are dealt by their hash, so a candidate that most pairs have
+    isn't one task's. In a partition sorted by place, the entries come before the candidates: one
+    array at a time is mapped, and candidates stream past it. Answers go back to the rows dealt
+    the same way, as one URL may hold a third of them.
+    """
     shapes = entries.agg(F.collect_set(F.size(F.split("host", r"\."))), F.collect_set(F.length("path"))).first()
     labels, lengths = sorted(shapes[0]), sorted(shapes[1])
 
+    def shards(strings: list[str]) -> pa.Array:
+        return pa.array([xxhash.xxh64_intdigest(x) >> (64 - bits) if bits else 0 for x in strings], pa.int64())
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tries = candidates(a, b, labels, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(tries), pa.string()), pa.array([b] * len(tries), pa.string()), pa.array(tries, pa.string())], names=["h", "p", "entry"])
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(tries), pa.string()), pa.array([b] * len(tries), pa.string()), pa.array(tries, pa.string()), shards(tries)], names=["h", "p", "entry", "shard"])
 
-    empty = F.lit("")
-    pairs = urls.select(F.coalesce("host", empty).alias("h"), F.coalesce("path", empty).alias("p")).distinct()
-    hits = (
-        pairs.mapInArrow(spread, "h string, p string, entry string").join(entries.select(F.concat("host", "path").alias("entry")).distinct(), "entry")
-        .groupBy("h", "p").agg(F.min(F.struct((-F.length("entry")).alias("n"), F.col("entry").alias("e")))["e"].alias("found"))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), shards(batch.column(0).to_pylist())], names=["entry", "shard"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, stored, array = None, [], None
+        for batch in batches:
+            hs, ps, tries, *at, asked = (c.to_pylist() for c in batch.columns)
+            found, run = [], []
+            for i, (x, ask) in enumerate([*zip(zip(*at, strict=True), asked, strict=True), (None, True)]):
+                if run and x != place:
+                    found += [j for j, hit in zip(run, array.find([tries[j] for j in run]).tolist(), strict=True) if hit]
+                    run = []
+                if x is None:
+                    break
+                if x != place:
+                    place, stored, array = x, [], None
+                if not ask:
+                    stored.append((tries[i], ""))
+                    continue
+                if array is None:
+                    array, stored = DigestArray.mapped(DigestArray.pack(stored)), []
+                run.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[j] for j in found], pa.string()) for c in (hs, ps, tries)], names=["h", "p", "entry"])
+
+    bounded_batches(urls.sparkSession)
+    h, p = (F.coalesce(F.col(c), F.lit("")) for c in ("host", "path"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = (
+        urls.select(h.alias("h"), p.alias("p")).distinct().mapInArrow(spread, "h string, p string, entry string, shard long")
+        .select("h", "p", "entry", "shard", F.pmod(F.xxhash64("h", "p"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(True).alias("asked"))
+    )
+    none = F.lit(None).cast("string")
+    arrays = (
+        entries.select(F.concat("host", "path").alias("entry")).distinct().mapInArrow(placed, "entry string, shard long")
+        .select(none.alias("h"), none.alias("p"), "entry", "shard", copies.alias("salt"), F.lit(False).alias("asked"))
     )
-    matched = urls.join(hits, (F.coalesce("host", empty) == hits["h"]) & (F.coalesce("path", empty) == hits["p"]), "left")
-    return matched.select(*[urls[c] for c in urls.columns if c != name], F.col("found").alias(name))
+    places = max(SALTS << bits, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hits = asked.unionByName(arrays).repartition(places, "shard", "salt").sortWithinPartitions("shard", "salt", "asked").mapInArrow(probe, "h string, p string, entry string")
+    best = hits.groupBy("h", "p").agg(F.min(F.struct((-F.length("entry")).alias("n"), F.col("entry").alias("e")))["e"].alias("found")).withColumn("part", copies)
+    plain = urls.toDF(*[f"c{i}" for i in range(len(urls.columns))])
+    h, p = (F.coalesce(F.col(f"c{position(urls, c)}"), F.lit("")) for c in ("host", "path"))
+    rows = plain.withColumn("own_part", F.spark_partition_id() % SALTS)
+    return rows.join(best, (h == best["h"]) & (p == best["p"]) & (F.col("own_part") == F.col("part")), "left").select(*plain.columns, "found").toDF(*urls.columns, name)
 
 
 #: The rules (host, path, verdict), and the hosts that the filter's own list blocks.
@@ -147,8 +210,8 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], blocked: DataFrame
     path) fits, else allow. A null URL or one without :// has an empty host and path.
     """
     spark = urls.sparkSession
-    own = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "listed", "verdict")]
-    split = urls.select(*[F.col(f"`{c}`") for c in own], url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    kept = without(urls, "host", "path", "rule", "listed", "verdict")
+    split = kept.select("*", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     given = spark.createDataFrame([(h, p) for h, p, _ in rules], "host string, path string")
     found = longest_match(longest_match(split, given, "rule"), blocked, "listed")
     said = F.create_map(*[F.lit(x) for h, p, v in rules for x in (h + p, v)]) if rules else F.create_map().cast("map<string,string>")
