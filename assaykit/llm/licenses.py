@@ -1,11 +1,10 @@
 """License scans by a positional index of rare words.
 
-Templates are word sequences. Each is indexed by its words of highest IDF (over all documents
-scanned), with their positions in it. In a file every indexed word is looked up; a posting
-(template, position) and the word's place give the place where the template would start.
-Exact phrases need one such word, and are confirmed word by word; longer templates need several
-words that agree on the start within a slack, and are confirmed by mandatory key phrases and by
-their share of words found there.
+Templates are word sequences, indexed by all their words with their positions. A file looks up
+its own license words of highest IDF (over all documents scanned): a posting (template, position)
+and the word's place give the place where the template would start. Exact phrases need two words
+that agree on the start, and are confirmed word by word; longer templates need several that agree
+within a slack, and are confirmed by mandatory key phrases and by their share of words found there.
 """
 
 from __future__ import annotations
@@ -67,38 +66,58 @@ OWN = [
 
 @dataclass
 class LicenseIndex:
+    """Postings (template, position) of all template words; a file looks up its own rarest ones.
+
+    Of each template that has enough of its words in the file, the file's `anchors` words of highest
+    IDF are looked up (two for exact phrases): the less of a text is left, the commoner they are.
+    """
+
     templates: list[Template]
     idf: dict[bytes, float]
     anchors: int = 4
     slack: int = 8
     words: list[list[bytes]] = field(init=False)
     keys: list[list[list[bytes]]] = field(init=False)
-    postings: dict[bytes, list[tuple[int, int]]] = field(init=False)
+    postings: dict[bytes, dict[int, list[int]]] = field(init=False)
+    ranked: list[list[bytes]] = field(init=False)
+    counts: list[Counter] = field(init=False)
 
     def __post_init__(self) -> None:
         self.words = [words_of(t.text) for t in self.templates]
         self.keys = [[words_of(k) for k in t.keys] for t in self.templates]
-        found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, (t, w) in enumerate(zip(self.templates, self.words, strict=True)):
-            rare = sorted(set(w), key=lambda x: (-self.idf.get(x, math.inf), x))[: 1 if t.exact else self.anchors]
+        self.counts = [Counter(w) for w in self.words]
+        self.ranked = [sorted(c, key=lambda x: (-self.idf.get(x, math.inf), x)) for c in self.counts]
+        self.postings = defaultdict(lambda: defaultdict(list))
+        for i, w in enumerate(self.words):
             for q, x in enumerate(w):
-                if x in rare and not (t.exact and w.index(x) != q):
-                    found[x].append((i, q))
-        self.postings = dict(found)
+                self.postings[x][i].append(q)
+        self.postings = {x: dict(found) for x, found in self.postings.items()}
+
+    def _lookups(self, present: set[bytes]) -> dict[int, list[bytes]]:
+        """Template -> the file's words of highest IDF of it, where the file has enough of its words."""
+        out = {}
+        for i, t in enumerate(self.templates):
+            own = [x for x in self.ranked[i] if x in present]
+            if own and (len(own) == len(self.ranked[i]) if t.exact else sum(self.counts[i][x] for x in own) >= t.share * len(self.words[i])):
+                out[i] = own[: 2 if t.exact else self.anchors]
+        return out
 
     def scan(self, w: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, share of its words found there) of every confirmed place."""
-        look, out = self.postings, []
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in [i for i, x in enumerate(w) if x in look]:
-            for i, q in look[w[p]]:
-                want = self.words[i]
-                if not self.templates[i].exact:
-                    starts[i].append((p - q, p))
-                elif p >= q and w[p - q : p - q + len(want)] == want:
-                    out.append((i, p - q, 1.0))
-        for i, found in starts.items():
-            out += self._near(w, i, sorted(found))
+        lookups = self._lookups(self.postings.keys() & w)
+        at: dict[bytes, list[int]] = {x: [] for own in lookups.values() for x in own}
+        if at:
+            for p, x in enumerate(w):
+                if x in at:
+                    at[x].append(p)
+        out = []
+        for i, own in lookups.items():
+            want = self.words[i]
+            if self.templates[i].exact:
+                starts = set.intersection(*({p - self.postings[x][i][0] for p in at[x]} for x in own))
+                out += [(i, a, 1.0) for a in sorted(starts) if a >= 0 and w[a : a + len(want)] == want]
+            else:
+                out += self._near(w, i, sorted((p - q, p) for x in own for p in at[x] for q in self.postings[x][i]))
         return out
 
     def _near(self, w: list[bytes], i: int, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
