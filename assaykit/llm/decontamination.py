@@ -4,8 +4,7 @@ A passage's score for an item is its BM25 over the item's BM25 with itself: the
 item's weight whose words the passage has. All items at or above THETA are retrieved by
 block-max WAND, a block of items at a time: a term's postings have its highest share in each
 block; blocks where the sum of these over the passage's terms stays below THETA are skipped, for
-all passages of a document at once, and items of the others are scored until the terms left
-cannot lift them to THETA. Passages are half-overlapping windows at least as long as the longest
+all passages of a document at once, and in the others a pivot tells which items to score. Passages are half-overlapping windows at least as long as the longest
 item, so one of them holds half of the weight of any item that stands in a text. Retrieved
 items are verified by their word n-grams around the passage, for question and answer. An item
 whose question has so little of its weight that a text with the question alone could stay below
@@ -17,6 +16,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from math import log
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,9 @@ def question_answer(text: str | None, answer: str | None = None) -> tuple[list[b
     return (words[:n], words[n:]) if n >= GRAM else (words, [])
 
 
+_entry = itemgetter(0)
+
+
 class Bm25Index:
     """items: (id, question words, answer words). Items without words are left out.
 
@@ -108,23 +111,38 @@ class Bm25Index:
             self.postings.append(dict(by_block))
 
     def search(self, terms: list[int], blocks: list[int], theta: float) -> list[tuple[int, float]]:
-        """(entry, score) of the entries of these blocks with a score of theta or more."""
+        """(entry, score) of the entries of these blocks with a score of theta or more.
+
+        WAND in a block: cursors stand in order of their entries; the pivot is the first entry at which
+        the highest shares of the cursors up to it reach theta. Entries before it are skipped, and
+        it is scored if all of these cursors can stand on it.
+        """
         out, eps = [], theta - 1e-6
         for b in blocks:
-            lists = [p for t in terms if (p := self.postings[t].get(b))]
-            lists.sort(key=lambda p: -max(x for _, x in p))
-            left = sum(max(x for _, x in p) for p in lists)
-            scores: dict[int, float] = {}
-            for p in lists:
-                if left < eps:  # no item that is not there yet can reach theta
-                    for i, x in p:
-                        if i in scores:
-                            scores[i] += x
-                else:
-                    for i, x in p:
-                        scores[i] = scores.get(i, 0.0) + x
-                left -= max(x for _, x in p)
-            out += [(i, x) for i, x in scores.items() if x >= eps]
+            cursors = [[p[0][0], float(self.tops[t, b]), 0, p] for t in terms if (p := self.postings[t].get(b))]
+            while cursors:
+                cursors.sort(key=_entry)
+                total, pivot = 0.0, -1
+                for c in cursors:
+                    total += c[1]
+                    if total >= eps - 1e-6:
+                        pivot = c[0]
+                        break
+                if pivot < 0:
+                    break
+                score, on = 0.0, cursors[0][0] == pivot
+                for c in cursors:
+                    if c[0] > pivot:
+                        break
+                    if on:
+                        score += c[3][c[2]][1]
+                    k, p = c[2] + on, c[3]
+                    while k < len(p) and p[k][0] < pivot:
+                        k += 1
+                    c[0], c[2] = (p[k][0] if k < len(p) else -1), k
+                if on and score >= eps:
+                    out.append((pivot, score))
+                cursors = [c for c in cursors if c[0] >= 0]
         return out
 
     def retrieve(self, words: list[bytes], theta: float | None = None) -> Iterator[tuple[int, list[tuple[int, float]]]]:
