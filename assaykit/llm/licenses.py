@@ -5,11 +5,13 @@ its own license words of highest IDF (over all documents scanned): a posting (te
 and the word's place give the place where the template would start. Exact phrases need two words
 that agree on the start, and are confirmed word by word; longer templates need several that agree
 within a slack, and are confirmed by mandatory key phrases and by their share of words found there.
+Of license texts that overlap (a notice that begins with another's sentence) the fuller one counts.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
+from .license_texts import TEXTS
 
 #: A-Z lower-cased, all ASCII but letters and digits to space; bytes of other characters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,9 +64,31 @@ OWN = [
     Template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", False, keys=("source and binary forms", "with or without modification")),
     Template("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", False, keys=("free software foundation",)),
     Template("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", False, keys=("with or without fee",)),
+    *(Template(label, text, False, keys=keys) for label, keys, text in TEXTS),
 ]
 
 
+class IntervalSet:
+    """Spans [start, end) of which none stands by half or more in one that was there before."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.longest = 0
+
+    def add(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start - self.longest)
+        while k < len(self.starts) and self.starts[k] < end:
+            if 2 * (min(end, self.ends[k]) - max(start, self.starts[k])) >= end - start:
+                return False
+            k += 1
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        self.longest = max(self.longest, end - start)
+        return True
+
+
 @dataclass
 class LicenseIndex:
     """Postings (template, position) of all template words; a file looks up its own rarest ones.
@@ -110,18 +135,25 @@ class LicenseIndex:
             for p, x in enumerate(w):
                 if x in at:
                     at[x].append(p)
-        out = []
+        out, near = [], []
         for i, own in lookups.items():
             want = self.words[i]
             if self.templates[i].exact:
                 starts = set.intersection(*({p - self.postings[x][i][0] for p in at[x]} for x in own))
                 out += [(i, a, 1.0) for a in sorted(starts) if a >= 0 and w[a : a + len(want)] == want]
             else:
-                out += self._near(w, i, sorted((p - q, p) for x in own for p in at[x] for q in self.postings[x][i]))
-        return out
-
-    def _near(self, w: list[bytes], i: int, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
-        """Groups of starts that agree, of which enough words and all key phrases are there."""
+                near += self._near(w, i, sorted((p - q, p) for x in own for p in at[x] for q in self.postings[x][i]))
+        return out + self._fullest(near)
+
+    def _fullest(self, near: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float]]:
+        """Places of license texts without those of which half stands in a place with more words found (or agreed on)."""
+        size = [len(x) for x in self.words]
+        taken = IntervalSet()
+        best = sorted(near, key=lambda x: (-x[2] * size[x[0]], -x[3], x[1], x[0]))
+        return [x[:3] for x in best if taken.add(x[1], x[1] + size[x[0]])]
+
+    def _near(self, w: list[bytes], i: int, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, float, int]]:
+        """Groups of starts that agree, of which enough words and all key phrases are there; each by its commonest start, with how many words agree on it."""
         n, group = len(self.words[i]), []
         need = min(2, len(set(self.words[i])))
         for start, p in [*found, (math.inf, -1)]:
@@ -131,7 +163,9 @@ class LicenseIndex:
                     part = w[a:b]
                     share = sum((Counter(part) & Counter(self.words[i])).values()) / n
                     if share >= self.templates[i].share and all(_has(part, k) for k in self.keys[i]):
-                        yield i, max(0, group[0][0]), share
+                        votes = Counter(s for s, _ in group)
+                        start = min(votes, key=lambda s: (-votes[s], s))
+                        yield i, max(0, start), share, votes[start]
                 group = []
             group.append((start, p))
 

@@ -92,3 +92,19 @@ def test_rare_words_of_the_file():
     index = licenses.LicenseIndex([t], idf)
     text = " ".join("zzz" if x in gone else x for x in t.text.split())
     assert [i for i, _, _ in index.scan(licenses.words_of(f"one two {text}"))] == [0]
+
+
+def test_fullest_text():
+    """A notice hides the shorter texts within it; two copies in a row are two places; other texts stay."""
+    of = {t.label: t for t in licenses.OWN}
+    index = licenses.LicenseIndex(licenses.OWN, {})
+
+    def found(text):
+        return sorted((s, licenses.OWN[i].label) for i, s, _ in index.scan(licenses.words_of(text)) if not licenses.OWN[i].exact)
+
+    for label, inner in [("bsd-3-full-text", "bsd-2-full-text"), ("mit-full-text", "mit-text"), ("agpl-3-notice-text", "gpl-text"), ("isc-full-text", "isc-text")]:
+        text, n = of[label].text, len(of[label].text.split())
+        assert found(text) == [(0, label)]
+        assert found(f"{text} {text}") == [(0, label), (n, label)]
+        assert found(f"{text} or else {of[inner].text}") == [(0, label), (n + 2, inner)]
+    assert found("") == found("the license") == []

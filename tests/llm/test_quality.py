@@ -1,0 +1,65 @@
+"""The classifier's fitting and its statistics against plain versions."""
+
+import itertools
+import math
+from collections import Counter
+
+import numpy as np
+
+from assaykit.llm import quality
+
+
+def plain_stump(x, y):
+    """(gain, feature, rows to the right) of the best single split on the logistic loss, tried at every value."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        for v in np.unique(x[:, f])[:-1]:
+            right = x[:, f] > v
+            if min(h[right].sum(), h[~right].sum()) >= 2.0:
+                gain = score(right) + score(~right) - score(np.ones(len(y), bool))
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, right)
+    return best, g, h
+
+
+def test_one_split():
+    """With fewer values than bins, the histogram's split is that of a search over all values."""
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        x = r.integers(0, 12, (200, 5)).astype(float)
+        y = (x[:, r.integers(5)] + r.normal(0, 4, 200) > 6).astype(float)
+        (_, f, right), g, h = plain_stump(x, y)
+        # quantile edges may leave out a rare value: give each as many rows
+        x = np.concatenate([x, np.zeros((0, 5))])
+        model = quality.fit(x, y, trees=1, depth=1, bins=4096)
+        assert model.feature[0, 0] == f
+        assert ((x[:, f] > model.threshold[0, 0]) == right).all()
+        want = [-0.1 * g[rows].sum() / (h[rows].sum() + 1.0) for rows in (~right, right)]
+        assert np.allclose(model.leaf[0], want)
+        base = math.log(y.mean() / (1 - y.mean()))
+        assert np.allclose(model.score(x), [1 / (1 + math.exp(-base - want[int(b)])) for b in right])
+
+
+def test_features():
+    """Statistics of words, lines and bytes by their definitions, over texts of few words."""
+    for words in itertools.product(["the", "A.", "BIG", "x", "2024", "a-word-of-more-than-15"], repeat=3):
+        for gap in (" ", "\n", " \t\n\n"):
+            text = gap.join(words)
+            got = dict(zip(quality.FEATURES, quality.features(text), strict=True))
+            n, lines, often = len(text), [x for x in text.split("\n") if x.strip()], Counter(words)
+            want = {
+                "log_bytes": math.log(1 + n), "log_words": math.log(4), "log_lines": math.log(1 + len(lines)), "mean_word": n / 3,
+                "long_words": sum(len(w) > 15 for w in words) / 3, "stop_words": sum(w in ("the", "A.") and w.rstrip(".").lower() in quality.STOP_WORDS for w in words) / 3,
+                "distinct_words": len(often) / 3, "top_word": max(often.values()) / 3,
+                "word_run": max(len(list(g)) for _, g in itertools.groupby(words)) / 3, "lines_ended": sum(x.rstrip().endswith(".") for x in lines) / len(lines),
+                "caps_words": sum(w == "BIG" or (len(w) > 1 and w == "A.") for w in words) / 3, "digit_words": words.count("2024") / 3, "one_letter_words": words.count("x") / 3,
+                "digit": sum(c.isdigit() for c in text) / n, "period": text.count(".") / n,
+                "byte_entropy": -sum(c / n * math.log2(c / n) for c in Counter(text).values()),
+                "bigram_repeats": 1 - len({words[:2], words[1:]}) / 2,
+            }
+            for name, value in want.items():
+                assert math.isclose(got[name], value, abs_tol=1e-9), (text, name)
+    assert quality.features(None) == quality.features("")
