@@ -1,5 +1,7 @@
 """Near-duplicates: every pair at the threshold, of a query set against all rows, by brute force."""
 
+import random
+
 import duckdb
 
 from assaykit.llm import minhash
@@ -28,3 +30,24 @@ def test_recall(spark):
                 assert sum(c == of[i] for c in of.values()) == 1
     print(f"pairs {pairs}, in one class {found}")
     assert pairs > 0 and found >= 0.99 * pairs
+
+
+def test_components(spark):
+    """Chains, stars, cycles, repeated and turned links, and links of one id with itself, against a plain union."""
+    r, links = random.Random(8), [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(1, 50)] + [(300, 301), (301, 302), (302, 300), (5, 5), (7, 6), (6, 7)]
+    links += [(r.randrange(400, 700), r.randrange(400, 700)) for _ in range(200)]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    for some in (links, [e for e in links if e[0] == 200]):
+        got = minhash.components(spark.createDataFrame(some, "a long, b long")).collect()
+        seen = {x for e in some for x in e}
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in seen if find(x) != x)
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).isEmpty()
