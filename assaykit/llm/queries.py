@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, minhash, mixing, quality, substrings, tokens, url_filter, warc
+from . import decontamination, licenses, media, minhash, mixing, quality, spelling, substrings, tokens, url_filter, warc
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
@@ -16,9 +16,10 @@ MODULES = {
     "op8_decontamination": decontamination,
     "op9_minhash": minhash,
     "op10_mixing": mixing,
+    "op11_spelling": spelling,
 }
 #: query -> name of its SQL in its module, where SQL can express it.
-SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL"}
+SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL", "op11_spelling": "OP11_SQL"}
 
 
 def queries() -> dict:
