@@ -25,7 +25,7 @@ def texts():
 @pytest.mark.parametrize("name", Q.SQL)
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = Q.queries()[name](spark, SF), c.sql(Q.oracle_sql()[name])
     order = sorted(want.columns)
