@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, licenses, media, minhash, mixing, quality, spelling, substrings, tokens, url_filter, warc
+from . import conversations, decontamination, embeddings, licenses, media, minhash, mixing, quality, spelling, substrings, tokens, url_filter, warc
 
 #: query -> module; each module has a function of the query's name.
 MODULES = {
@@ -17,10 +17,11 @@ MODULES = {
     "op9_minhash": minhash,
     "op10_mixing": mixing,
     "op11_spelling": spelling,
+    "op12_conversations": conversations,
     "op13_embeddings": embeddings,
 }
 #: query -> name of its SQL in its module, where SQL can express it.
-SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL", "op11_spelling": "OP11_SQL", "op13_embeddings": "OP13_SQL"}
+SQL = {"op2_warc": "OP2_SQL", "op3_url_filter": "OP3_SQL", "op6_substrings": "OP6_SQL", "op10_mixing": "OP10_SQL", "op11_spelling": "OP11_SQL", "op12_conversations": "OP12_SQL", "op13_embeddings": "OP13_SQL"}
 
 
 def queries() -> dict:
