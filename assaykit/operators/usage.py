@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import col
+from ..sources import quarantine as Q
 from ..sources.io import scratch
 
 #: USD per 1M input and output tokens by model, and of any other model.
@@ -43,6 +44,12 @@ def with_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     return joined.withColumn("cost", cost).select(*[calls[c] if c != "model" else F.col("model") for c in calls.columns if c != "cost"], "cost")
 
 
+def sort_out_calls(calls: DataFrame, path: str, batch: str = "0") -> Q.Sorted:
+    """Stores calls with a cost below path, and apart from them those whose cost is missing or negative, in one pass."""
+    why = {"no cost": F.col("cost").isNull(), "negative cost": F.col("cost") < 0}
+    return Q.sort_out(calls, why, path, calls.columns, calls.columns, batch)
+
+
 def spend(calls: DataFrame) -> DataFrame:
     """provider, model (null: all), level (of rollup: 0, 1, 3), cost, n_calls."""
     return calls.rollup("provider", "model").agg(F.grouping_id().cast("int").alias("level"), F.sum("cost").alias("cost"), F.count("*").alias("n_calls"))

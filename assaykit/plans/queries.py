@@ -559,6 +559,11 @@ SELECT doc_id, {_JSON_OK} AS valid, CASE k % 10 WHEN 3 THEN 'unknown keys: extra
   CASE WHEN {_JSON_OK} THEN deductible::DOUBLE END AS deductible, CASE WHEN {_JSON_OK} THEN CASE WHEN k % 10 = 2 THEN 0 ELSE n_losses END::INT END AS n_losses FROM rr""")
 def validated_outputs(spark, sf_dir):
     """Model outputs in fences, with empty strings, missing histories, odd events, unknown keys and wrong values."""
+    out = validate.validate(_outputs(spark, sf_dir))
+    return out.select("doc_id", "valid", "error", "extraction.named_insured", "extraction.year_built", "extraction.deductible", F.when(F.col("valid"), F.size("extraction.loss_history")).alias("n_losses"))
+
+
+def _outputs(spark, sf_dir):
     base, n = fixtures.base(spark, sf_dir), F.col("k") % 10
     event = "named_struct('date', e.date, 'cause', e.cause, 'paid_amount', cast(e.paid_amount as double), 'status', if(k % 10 = 4, '', e.status))"
     fields = ", ".join(f"{f if f not in ('effective_date', 'named_insured', 'industry_code_type', 'year_built') else {'effective_date': 'if(k % 10 = 5, date_format(effective_date, ' + repr('MM/dd/yyyy') + '), cast(effective_date as string))', 'named_insured': 'if(k % 10 = 1, ' + repr('') + ', named_insured)', 'industry_code_type': 'if(k % 10 = 6, ' + repr('ISO') + ', industry_code_type)', 'year_built': 'if(k % 10 = 9, year_built + 0.5, cast(year_built as double))'}[f]} as {f}" for f in EXTRACTION.names if f != "loss_history")
@@ -569,8 +574,35 @@ def validated_outputs(spark, sf_dir):
     losses = F.regexp_replace(losses, r", \]", "]")
     text = F.concat(F.regexp_replace(body, r"\}\z", ""), F.lit(',"loss_history":'), losses, F.lit("}"))
     text = F.when(n == 0, F.concat(F.lit("Here it is:\n```json\n"), text, F.lit("\n```\nDone."))).when(n == 7, "I cannot read this.").otherwise(F.concat(F.lit("  "), text, F.lit("\n")))
-    out = validate.validate(base.select(F.concat(F.lit("doc_"), F.col("k")).alias("doc_id"), text.alias("text")))
-    return out.select("doc_id", "valid", "error", "extraction.named_insured", "extraction.year_built", "extraction.deductible", F.when(F.col("valid"), F.size("extraction.loss_history")).alias("n_losses"))
+    return base.select(F.concat(F.lit("doc_"), F.col("k")).alias("doc_id"), text.alias("text"))
+
+
+def _observed(counts: dict[str, int], name: str) -> F.Column:
+    """The observed number of rows of the kind in column name."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col(name)).cast("bigint")
+
+
+@query(f"""WITH {BASE}, {_ONE_ROW}, w AS (SELECT doc_id, k, n_losses, year_built, CASE k % 10 WHEN 3 THEN 'unknown keys' WHEN 5 THEN 'wrong effective_date' WHEN 6 THEN 'wrong industry_code_type' WHEN 7 THEN 'no JSON object' WHEN 8 THEN 'wrong loss_history' WHEN 9 THEN 'wrong year_built' ELSE 'good' END AS kind FROM rr)
+SELECT doc_id, kind, count(*) OVER (PARTITION BY kind) AS observed, CASE WHEN kind = 'good' THEN year_built::INT END AS year_built,
+  CASE WHEN kind = 'good' THEN CASE WHEN k % 10 = 2 THEN 0 ELSE n_losses END::INT END AS n_losses, CASE WHEN kind = 'no JSON object' THEN 'I cannot read this.' END AS unread, CASE WHEN kind <> 'good' THEN true END AS kept_text FROM w""")
+def quarantined_outputs(spark, sf_dir):
+    """Both tables of model outputs, read back, with what the observation of the one pass has counted of each kind."""
+    found = validate.sort_out(_outputs(spark, sf_dir), scratch(spark, "outputs"))
+    none = lambda t: F.lit(None).cast(t)
+    good = found.good.select("doc_id", F.lit("good").alias("kind"), "extraction.year_built", F.size("extraction.loss_history").alias("n_losses"), none("string").alias("unread"), none("boolean").alias("kept_text"))
+    bad = found.bad.select("doc_id", F.element_at("reasons", 1).alias("kind"), none("int").alias("year_built"), none("int").alias("n_losses"), F.when(F.array_contains("reasons", "no JSON object"), F.col("text")).alias("unread"), F.length("text") > 0)
+    return good.union(bad).withColumn("observed", _observed(found.counts, "kind"))
+
+
+@query("""WITH cl AS (SELECT event_id AS call_id, event_type AS provider, CASE WHEN event_id % 29 = 0 THEN 'no cost' WHEN event_id % 23 = 0 THEN 'negative cost' ELSE 'good' END AS kind FROM events)
+SELECT call_id, provider, kind, count(*) OVER (PARTITION BY kind) AS observed FROM cl""")
+def quarantined_calls(spark, sf_dir):
+    """Calls without a cost or with a negative one, stored apart."""
+    calls, one = usage.with_cost(fixtures.calls(spark, sf_dir)), F.lit("0.0000000001").cast("decimal(20,10)")
+    cost = F.when(F.col("call_id") % 29 == 0, None).when(F.col("call_id") % 23 == 0, -F.col("cost") - one).otherwise(F.col("cost"))
+    found = usage.sort_out_calls(calls.withColumn("cost", cost), scratch(spark, "calls"))
+    rows = found.good.select("call_id", "provider", F.lit("good").alias("kind")).union(found.bad.select("call_id", "provider", F.element_at("reasons", 1)))
+    return rows.withColumn("observed", _observed(found.counts, "kind"))
 
 
 # ---------------------------------------------------------------- J: form text

@@ -1,12 +1,15 @@
-"""Model output to typed extractions: parse, coerce, validate; bad rows are marked, not raised."""
+"""Model output to typed extractions: parse, coerce, validate; bad rows are marked, or sorted out, not raised."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import col, let, strip
+from . import quarantine as Q
 from .schemas import AMOUNT_FIELDS, CODE_TYPES, DATE_FIELDS, EXTRACTION, LOSS, LOSS_FIELDS, RAW_LOSS
 
 _STRINGS = T.StructType([*(T.StructField(f, T.StringType()) for f in EXTRACTION.names if f != "loss_history"), T.StructField("loss_history", T.ArrayType(T.StringType()))])
@@ -84,3 +87,18 @@ def validate(outputs: DataFrame, text: str = "text") -> DataFrame:
     losses = F.transform(raw["loss_history"], lambda e: F.struct(*[typed(f, e[f]).alias(f) for f in LOSS_FIELDS]))
     extraction = F.struct(*[typed(f, raw[f]).alias(f) for f in fields], losses.cast(T.ArrayType(LOSS)).alias("loss_history"))
     return rows.withColumn("error", error).withColumn("valid", F.col("error").isNull()).withColumn("extraction", F.when(F.col("valid"), extraction)).drop("_json", "_keys", "_parsed", "_raw")
+
+
+def reasons() -> dict[str, Column]:
+    """Of validate's rows: one condition for each way of being wrong, by its name."""
+    error = F.col("error")
+    fields = F.split(F.regexp_extract(error, r"\Awrong values: (.*)", 1), ",")
+    wrong = {f"wrong {f}": F.array_contains(fields, f) for f in (*DATE_FIELDS, *AMOUNT_FIELDS, "year_built", "industry_code_type", "loss_history")}
+    return {"no JSON object": error == "no JSON object", "unknown keys": error.startswith("unknown keys: "), **wrong}
+
+
+def sort_out(outputs: DataFrame, path: str, ids: Sequence[str] = ("doc_id",), text: str = "text", batch: str = "0") -> Q.Sorted:
+    """Validates outputs and stores them below path in one pass: extractions of valid ones (ids, extraction), and of the
+    others the raw text as it came, the error, and its reasons. Counts are a number for each reason."""
+    rows = validate(outputs, text)
+    return Q.sort_out(rows.select(*ids, text, "extraction", "error"), reasons(), path, [*ids, "extraction"], [*ids, text, "error"], batch)
