@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ PRICES = [
 OTHER_PRICE = (1.0, 5.0)
 #: Of USD: exact for every whole number of tokens at prices of four places.
 MONEY = "decimal(20,10)"
+#: Calls of a range of a running total, about; ranges of a node in the tree over them.
+RANGE_ROWS, LEAF = 1_000_000, 1000
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -55,45 +58,91 @@ def spend(calls: DataFrame) -> DataFrame:
     return calls.rollup("provider", "model").agg(F.grouping_id().cast("int").alias("level"), F.sum("cost").alias("cost"), F.count("*").alias("n_calls"))
 
 
-def running_total(calls: DataFrame, order: list[str], run: str | None = None, amount: str = "cost", parts: int = 64) -> DataFrame:
+def _before(sums: DataFrame, runs: list[str], total: Callable[[Column], Column], leaf: int = LEAF) -> DataFrame:
+    """of, of_run and before of rows (run, part, total): the run's total in all parts before this one.
+
+    leaf neighbouring parts are a node of a tree; within a node it is a window, and the nodes' own totals are
+    summed up in the same way, so no window has more than leaf rows, however many parts a run has.
+    """
+    names = [F.col(r).alias("of_run") for r in runs]
+    within = lambda *node: total(F.sum("total").over(W.partitionBy(*runs, *node).orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    most = sums.agg(F.max("part")).first()[0]
+    if most is None or most < leaf:
+        return sums.select(F.col("part").alias("of"), *names, within().alias("before"))
+    node = F.floor(F.col("part") / leaf).cast("int")
+    here = sums.select(F.col("part").alias("of"), *names, node.alias("node"), within(node).alias("inside"))
+    nodes = sums.groupBy(*runs, node.alias("part")).agg(total(F.sum("total")).alias("total"))
+    above = _before(nodes, runs, total, leaf).toDF("above", *["above_run"] * len(runs), "outside")
+    same = F.col("node") == F.col("above")
+    for _ in runs:
+        same &= F.col("of_run").eqNullSafe(F.col("above_run"))
+    return here.join(above, same).select("of", *["of_run"] * len(runs), F.coalesce(F.col("inside") + F.col("outside"), "inside", "outside").alias("before"))
+
+
+def running_total(calls: DataFrame, order: list[str], run: str | None = None, amount: str = "cost", carry: DataFrame | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """calls with running: the sum of amount up to and with the call, in the given order.
 
-    Within each run, or over all calls. Calls are dealt out in ranges of run and order, summed
-    within each range, and the sums of the run's ranges before are added; no task sees all calls
-    of a run. The dealt calls are written once: each plan that reads them would else sample ranges
-    of its own. Rows that tie in the order are summed together; null amounts count nothing.
-    Decimal amounts add up exactly, with ten more digits before the point.
+    Within each run, or over all calls. Calls are dealt out in ranges of run and order, of about as many rows
+    as said, so their number follows the calls'; each range is summed by itself, and the sums of the run's
+    ranges before are added, which come from a tree of ranges; no task sees all calls of a run, nor all its ranges. The dealt
+    calls are written once: each plan that reads them would else sample ranges of its own. Rows that tie in
+    the order are summed together; null amounts count nothing. Decimal amounts add up exactly, with
+    ten more digits before the point.
+
+    carry has what earlier calls came to (totals_after): a row (run, total) for each run, or one row (total); runs
+    that it lacks begin at nothing.
     """
     of = calls.schema[amount].dataType
     kind = f"decimal({min(37, of.precision + 10)},{of.scale})" if isinstance(of, T.DecimalType) else None
     total = lambda c: c.cast(kind) if kind else c
     runs = [] if run is None else [run]
     path = scratch(calls.sparkSession, "dealt")
-    dealt = calls.repartitionByRange(parts, *runs, *order).withColumn("part", F.spark_partition_id())
+    dealt = calls.repartitionByRange(max(1, -(-calls.count() // rows)), *runs, *order).withColumn("part", F.spark_partition_id())
     dealt.write.parquet(path)
     dealt = calls.sparkSession.read.schema(dealt.schema).parquet(path)
-    sums = dealt.groupBy(*runs, "part").agg(F.sum(amount).alias("total"))
-    earlier = W.partitionBy(*runs).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(F.col("part").alias("of"), *[F.col(r).alias("of_run") for r in runs], total(F.sum("total").over(earlier)).alias("before"))
+    before = _before(dealt.groupBy(*runs, "part").agg(total(F.sum(amount)).alias("total")), runs, total)
     dealt = dealt.withColumn("within", total(F.sum(amount).over(W.partitionBy(*runs, "part").orderBy(*order))))
     same = F.col("part") == F.col("of")
     for r in runs:
         same &= F.col(r).eqNullSafe(F.col("of_run"))
     running = F.coalesce(F.col("within") + F.col("before"), "within", "before")
-    return dealt.join(before, same).withColumn("running", running).drop("part", "within", "of", "of_run", "before")
+    found = dealt.join(before, same).withColumn("running", running).drop("part", "within", "of", "of_run", "before")
+    if carry is None:
+        return found
+    if run is None:
+        saved = carry.agg(F.sum("total").alias("carried"))  # one row
+        found = found.crossJoin(F.broadcast(saved))
+    else:
+        saved = carry.groupBy(F.col(run).alias("of_run")).agg(F.sum("total").alias("carried"))
+        found = found.join(saved, found[run].eqNullSafe(saved["of_run"]), "left")
+    return found.withColumn("running", total(F.coalesce(F.col("running") + F.col("carried"), "running", "carried"))).drop("of_run", "carried")
+
+
+def totals_after(calls: DataFrame, run: str | None = None, amount: str = "cost", carry: DataFrame | None = None) -> DataFrame:
+    """What calls come to, with what was carried into them: (run, total) or one row (total), to be saved and carried into
+    the next calls. Negative and missing amounts count nothing, as in spend_audit; runs without new calls keep theirs."""
+    kind = calls.schema[amount].dataType
+    counted = F.when(F.col(amount) >= 0, F.col(amount)).otherwise(F.lit(0).cast(kind))
+    runs = [] if run is None else [run]
+    rows = calls.select(*runs, counted.alias("total"))
+    if carry is not None:
+        rows = rows.unionByName(carry.select(*runs, "total"))
+    wide = f"decimal({min(37, kind.precision + 10)},{kind.scale})" if isinstance(kind, T.DecimalType) else "double"
+    return rows.groupBy(*runs).agg(F.coalesce(F.sum("total"), F.lit(0)).cast(wide).alias("total"))
 
 
-def spend_audit(calls: DataFrame, cap: float, order: list[str], run: str | None = None) -> DataFrame:
+def spend_audit(calls: DataFrame, cap: float, order: list[str], run: str | None = None, carry: DataFrame | None = None) -> DataFrame:
     """calls with running and status: charged; tripped, the first whose running total is above the cap
     (it is still charged); skipped after that; invalid for a negative or missing cost, which counts nothing.
 
     What has been spent is the running total of the tripped call; that of skipped ones is what it would
-    have been. Decimal costs (with_cost) are compared exactly.
+    have been. Decimal costs (with_cost) are compared exactly. With carry (totals_after of the calls before) the
+    audit goes on where the last one ended: in a run that is above the cap already, all is skipped.
     """
     kind = calls.schema["cost"].dataType
     valid = F.coalesce(F.col("cost") >= 0, F.lit(False))
     marked = calls.withColumn("counted", F.when(valid, F.col("cost")).otherwise(F.lit(0).cast(kind)))
-    rows = running_total(marked, order, run, "counted")
+    rows = running_total(marked, order, run, "counted", carry)
     before = F.col("running") - F.col("counted")
     limit = F.lit(Decimal(str(cap)) + Decimal("1e-12")) if isinstance(kind, T.DecimalType) else F.lit(cap + 1e-12)
     status = F.when(~valid, "invalid").when(F.col("running") <= limit, "charged").when(before <= limit, "tripped").otherwise("skipped")

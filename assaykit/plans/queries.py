@@ -665,6 +665,33 @@ def spend_audit_all(spark, sf_dir):
     return _audit(spark, sf_dir, 9.8765, None)
 
 
+def _continued(spark, sf_dir, cap, run):
+    """The audit in three parts of the time, each with the totals that the one before has saved."""
+    calls = usage.with_cost(fixtures.calls(spark, sf_dir))
+    low, high = calls.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.least(F.floor((F.unix_micros("ts") - low) * 3 / F.lit(high - low + 1)), F.lit(2))
+    carry, done = None, None
+    for i in range(3):
+        part = calls.where(third == i)
+        audited = usage.spend_audit(part, cap, ["ts", "call_id"], run, carry).select("call_id", "run_id", "running", "status")
+        path = scratch(spark, "totals")
+        usage.totals_after(part, run, carry=carry).write.parquet(path)
+        carry, done = spark.read.parquet(path), audited if done is None else done.unionByName(audited)
+    return _rounded(done)
+
+
+@query(_audit_sql("PARTITION BY run_id", 1.2345))
+def spend_audit_continued_by_run(spark, sf_dir):
+    """I4: as spend_audit_by_run, but continued over three days from saved totals."""
+    return _continued(spark, sf_dir, 1.2345, "run_id")
+
+
+@query(_audit_sql("", 9.8765))
+def spend_audit_continued(spark, sf_dir):
+    """I4: as spend_audit_all, but continued over three days from saved totals."""
+    return _continued(spark, sf_dir, 9.8765, None)
+
+
 @query(f"""WITH {_CALLS} SELECT call_id, provider, n AS in_window, n > 2 AS over FROM (
   SELECT call_id, provider, count(*) OVER (PARTITION BY provider ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM cl)""")
 def rate_audit(spark, sf_dir):

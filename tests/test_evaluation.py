@@ -105,7 +105,7 @@ def test_running_total_beyond_the_range_sample(spark):
     want, total = {}, 0
     for r in sorted(calls.collect(), key=lambda r: r["at"]):
         want[r.id] = total = total + r.cost
-    assert {r.id: r.running for r in usage.running_total(calls, ["at"]).collect()} == want
+    assert {r.id: r.running for r in usage.running_total(calls, ["at"], rows=1000).collect()} == want
 
 
 def test_running_total_of_a_large_run(spark):
@@ -116,7 +116,7 @@ def test_running_total_of_a_large_run(spark):
         if r.cost is not None:
             totals[r.run] = totals.get(r.run, 0) + r.cost
         want[r.id] = totals.get(r.run)
-    got = usage.running_total(calls, ["at"], "run")
+    got = usage.running_total(calls, ["at"], "run", rows=1000)
     assert {r.id: r.running for r in got.collect()} == want
     assert "windowspecdefinition(run#" in (plan := got._jdf.queryExecution().optimizedPlan().toString())
     assert all("part#" in x.split("]")[0] for x in plan.split("windowspecdefinition(")[1:])  # no window over a whole run's calls
