@@ -227,15 +227,19 @@ def _flac(d: bytes, at: int, _: Marks) -> int | None:
 
 
 def _zip(d: bytes, at: int, marks: Marks) -> int | None:
-    """Up to the end record whose directory, by its size and offset, starts where it should for a file that starts here."""
-    ends = marks["PK\x05\x06"]
-    for end in ends[bisect_left(ends, at) :]:
-        if end + 22 > len(d):
-            return None
-        size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(d):
-            return end + 22 + note
-    return None
+    """Up to the first end record whose directory, by its size and offset, starts where it should for a file that starts here.
+    Where a file would start is a property of its end record alone, so this is one lookup a header."""
+    if "zip starts" not in marks:
+        found = []
+        for end in marks["PK\x05\x06"]:
+            if end + 22 <= len(d):
+                size, offset, note = struct.unpack_from("<IIH", d, end + 12)
+                if end + 22 + note <= len(d):
+                    found.append((end - size - offset, end, end + 22 + note))
+        found.sort()
+        marks["zip starts"], marks["zip stops"] = [f[0] for f in found], [f[2] for f in found]
+    i = bisect_left(marks["zip starts"], at)
+    return marks["zip stops"][i] if i < len(marks["zip starts"]) and marks["zip starts"][i] == at else None
 
 
 def _midi(d: bytes, at: int, _: Marks) -> int | None:

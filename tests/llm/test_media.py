@@ -125,6 +125,24 @@ def test_sniffing_is_linear(mark):
     assert seconds(800_000) < 12 * seconds(200_000) + 0.5
 
 
+def test_mixed_marks_are_linear():
+    """Every mix of two marks: none takes more than a share of a second, or else grows with the square of the length."""
+    marks = [m.encode("latin-1") for m in dict.fromkeys([f[0].decode("latin-1") for f in media.FORMATS] + list(media.MARKS))]
+
+    def seconds(unit, n):
+        data = media.wav_of((unit * (n // len(unit) + 1))[:n])
+        began = time.time()
+        media.sniff(data)
+        return time.time() - began
+
+    for a in marks:
+        for b in marks:
+            unit = a + bytes(20) + b + bytes(18)
+            if (short := seconds(unit, 40_000)) > 0.1:
+                assert seconds(unit, 160_000) < 10 * short, (a, b)
+    assert seconds(b"PK\x03\x04" + bytes(20) + b"PK\x05\x06" + bytes(18), 8_000_000) < 10
+
+
 def test_columns_of_op5(spark):
     got = {r.doc_id: r for r in Q.queries()["op5_media"](spark, SF).collect()}
     texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
