@@ -42,6 +42,17 @@ def test_longest_match(spark, listed, monkeypatch, bounds):
     assert sum(x is not None for x in want.values()) > 300
 
 
+@pytest.mark.parametrize("most", [64 << 20, -1])
+def test_host_and_path_stay_apart(spark, monkeypatch, most):
+    """An entry's path is not the end of another host, nor a host with a slash an entry."""
+    monkeypatch.setattr(url_filter, "MAX_ARRAY_BYTES", most)
+    entries = spark.createDataFrame([("example.co", "m"), ("b.org/x", ""), ("c.org", "/p"), ("d.org", "")], "host string, path string")
+    urls = [("example.com", ""), ("example.com", "m"), ("example.co", "m/x"), ("b.org", "/x"), ("b.org", "x/"), ("b.org/x", ""), ("c.org", "/p/q"), ("c.org", "p"), ("x.d.org", "/"), (None, "/"), ("", "m")]
+    got = url_filter.longest_match(spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "id int, host string, path string"), entries, "found")
+    assert {r.id: r.found for r in got.collect() if r.found} == {2: "example.com", 6: "c.org/p", 8: "d.org"}
+    assert url_filter.longest_match(got.limit(0), entries, "found").count() == 0
+
+
 def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
