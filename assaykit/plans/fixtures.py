@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import scratch
+from ..sources.io import exists, scratch
 from ..sources.schemas import CONDITIONS, N_RUNS, RAW_LOSS, TIERS
 
 #: field -> multiplier, step and modulus of its variant.
@@ -43,7 +43,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     It is dealt out evenly: what joins leave in few partitions would be few tasks in all queries that read it.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
+    if key not in _kept or not exists(spark, _kept[key]):  # the shared folder may have been cleared
         path = scratch(spark, f"derived-{name}")
         parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         build().repartition(parts).write.parquet(path)

@@ -6,6 +6,7 @@ them as a table. Writers here make partitioned files, not one a document.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local one only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.gettempdir() + "/assaykit"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True) -> DataFrame:
     """doc_id, difficulty_tier, seed, extraction, path of {corpus_dir}/*/ground_truth.json, by path;
     only of documents that have a document.pdf beside it, unless with_pdf is false."""
