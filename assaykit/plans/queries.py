@@ -354,6 +354,13 @@ def condition_summary(spark, sf_dir):
     return _rounded(stability.condition_summary(fixtures.truth(spark, sf_dir), fixtures.runs(spark, sf_dir).drop("k")))
 
 
+@query(f"WITH {BASE} SELECT doc_id FROM t WHERE k % 7 = 0")
+def results_without_truth(spark, sf_dir):
+    """F8: the documents of results for which there is no truth."""
+    truth = fixtures.truth(spark, sf_dir).where(F.col("k") % 7 != 0)
+    return stability.without_truth(truth, fixtures.runs(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- G: routing
 
 

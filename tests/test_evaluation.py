@@ -28,6 +28,19 @@ def test_scores(spark):
     assert not got["odd"].ok_effective_date and got["odd"].ok_mailing_address and got["odd"].ok_loss_history
 
 
+def test_details(spark):
+    """What is compared of exact fields, the overlap of texts, the counts of losses."""
+    pred = RECORD | {"effective_date": "05/06/2024", "deductible": "$2,500", "contents_value": None, "year_built": "1985", "named_insured": "Acme Storage LLC", "loss_history": []}
+    rows = scoring.field_details(frame(spark, [("a", RECORD, pred)]), ["doc_id"]).collect()
+    got = {r.field: (r.correct, r.detail) for r in rows}
+    assert set(got) == {*ALL_FIELDS} and len(rows) == len(ALL_FIELDS)
+    assert got["effective_date"] == (False, "truth=2024-05-06 pred=__ambiguous__|05/06/2024")
+    assert got["deductible"] == (True, "truth=2500.0 pred=2500.0") and got["contents_value"] == (False, "truth=6.0 pred=null")
+    assert got["year_built"] == (False, "truth=1984 pred=1985") and got["construction_type"] == (True, "truth=joisted masonry pred=joisted masonry")
+    assert got["named_insured"] == (False, "overlap=0.600 threshold=0.8") and got["mailing_address"] == (True, "overlap=1.000 threshold=0.8")
+    assert got["loss_history"] == (False, "tp=0 fp=0 fn=1")
+
+
 LOSSES = [(2, 1, (1.0, 0.5, 0, 1)), (2, 3, (2 / 3, 1.0, 1, 0)), (0, 0, (1.0, 1.0, 0, 0))]
 
 
