@@ -208,7 +208,7 @@ MATCH = "array<struct<item_id:long,score:double,question_overlap:double,answer_o
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches") -> DataFrame:
-    """docs with the column name: the benchmark items (item_id, text, and answer if there is one)
+    """docs with the column name: the benchmark items (item_id, text, and answer, in any case, if there is one)
     that stand in each whole text, by item id. A column of that name is replaced.
 
     Null or empty texts match nothing, nor do items without words; an empty benchmark matches
@@ -217,8 +217,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matche
     in a job of its own: one is in memory at a time.
     """
     bounded_batches(docs.sparkSession)
-    answer = "answer" in benchmark.columns
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", *(["answer"] if answer else [])).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    answer = "answer" in {c.lower() for c in benchmark.columns}
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", *([F.col("answer").alias("answer")] if answer else [])).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + (F.coalesce(F.octet_length("answer"), F.lit(0)) if answer else F.lit(0)) + 32)).first()[0] or 0
     parts = max(1, -(-size // MAX_INDEX_BYTES))
     docs = without(docs, name)

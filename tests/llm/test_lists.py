@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.llm import licenses, url_filter
+from assaykit.llm import decontamination, licenses, url_filter
 from assaykit.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -119,3 +119,14 @@ def test_fullest_text():
         assert found(f"{text} {text}") == [(0, label), (n, label)]
         assert found(f"{text} or else {of[inner].text}") == [(0, label), (n + 2, inner)]
     assert found("") == found("the license") == []
+
+
+@pytest.mark.parametrize("name", ["answer", "Answer"])
+def test_answer_in_any_case(spark, name):
+    """A passage with half of the question and the answer is found by the answer, however its column is written."""
+    question = "which river flows through the old town of the northern valley before it reaches the sea"
+    benchmark = spark.createDataFrame([(1, question, "the long river")], f"item_id long, text string, {name} string")
+    half = " ".join(question.split()[:11])
+    docs = spark.createDataFrame([(1, f"{half} is the long river indeed"), (2, f"{half} is not said"), (3, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: [m.answer_overlap for m in r.matches] for r in decontamination.benchmark_matches(docs, benchmark).collect()}
+    assert got[3] == [] and got[1] == [1.0]
