@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words.
 
-Templates are word sequences, indexed by all their words with their positions. A file looks up
-its own license words of highest IDF (over all documents scanned): a posting (template, position)
-and the word's place give the place where the template would start. Exact phrases need two words
+Templates are word sequences, indexed by all their words with their positions. A file meets the templates
+of which it has a rare word, by IDF over all documents scanned, and looks up its own license words of highest IDF: a
+posting (template, position) and the word's place give the place where the template would start. Exact phrases need two words
 that agree on the start, and are confirmed word by word; longer templates need several that agree
 within a slack, and are confirmed by mandatory key phrases and by their share of words found there.
 Of license texts that overlap (a notice that begins with another's sentence) the fuller one counts.
@@ -93,8 +93,11 @@ class IntervalSet:
 class LicenseIndex:
     """Postings (template, position) of all template words; a file looks up its own rarest ones.
 
-    Of each template that has enough of its words in the file, the file's `anchors` words of highest
-    IDF are looked up (two for exact phrases): the less of a text is left, the commoner they are.
+    rare names a template under its words of highest IDF: so many that what is left is less than its share (one for
+    exact phrases). A file without any of these has too few of its words in any case, so by its rare words a file
+    meets all templates that can be in it, and none is lost. Of each one met that has enough of its words in
+    the file, the file's `anchors` words of highest IDF are looked up (two for exact phrases): the less of a text is
+    left, the commoner they are.
     """
 
     templates: list[Template]
@@ -106,6 +109,7 @@ class LicenseIndex:
     postings: dict[bytes, dict[int, list[int]]] = field(init=False)
     ranked: list[list[bytes]] = field(init=False)
     counts: list[Counter] = field(init=False)
+    rare: dict[bytes, list[int]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.words = [words_of(t.text) for t in self.templates]
@@ -117,11 +121,20 @@ class LicenseIndex:
             for q, x in enumerate(w):
                 self.postings[x][i].append(q)
         self.postings = {x: dict(found) for x, found in self.postings.items()}
+        self.rare = defaultdict(list)
+        for i, t in enumerate(self.templates):
+            left, least = len(self.words[i]), len(self.words[i]) if t.exact else t.share * len(self.words[i])
+            for x in self.ranked[i]:
+                if left < least:
+                    break
+                self.rare[x].append(i)
+                left -= self.counts[i][x]
 
     def _lookups(self, present: set[bytes]) -> dict[int, list[bytes]]:
         """Template -> the file's words of highest IDF of it, where the file has enough of its words."""
         out = {}
-        for i, t in enumerate(self.templates):
+        for i in sorted({i for x in present if x in self.rare for i in self.rare[x]}):
+            t = self.templates[i]
             own = [x for x in self.ranked[i] if x in present]
             if own and (len(own) == len(self.ranked[i]) if t.exact else sum(self.counts[i][x] for x in own) >= t.share * len(self.words[i])):
                 out[i] = own[: 2 if t.exact else self.anchors]

@@ -105,6 +105,51 @@ def test_rare_words_of_the_file():
     assert [i for i, _, _ in index.scan(licenses.words_of(f"one two {text}"))] == [0]
 
 
+def test_scores_are_exact():
+    """Among words of no template the share is that of the words that stand there, to the last digit."""
+    r, filler = random.Random(7), ["zzz"] * 40
+    index = licenses.LicenseIndex(licenses.OWN, {})
+    for i, t in [(i, t) for i, t in enumerate(licenses.OWN) if not t.exact]:
+        body, fixed = t.text.split(), {x for k in t.keys for x in k.split()}
+        for change in (0.0, 0.05, 0.1):
+            there = ["zzz" if x not in fixed and r.random() < change else x for x in body]
+            found = [(s, share) for j, s, share in index.scan(licenses.words_of(" ".join(filler + there + filler))) if j == i]
+            want = sum(x != "zzz" for x in there) / len(body)
+            assert found == ([(40, want)] if want >= t.share else [])
+
+
+@pytest.mark.parametrize("n", [25, 500])
+def test_rare_words_lose_no_template(n):
+    """Templates met by rare words are all that can be in a file: the same places as by walking every template."""
+    r = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(400)]
+    pick = lambda: vocabulary[min(int(r.expovariate(0.02)), 399)]
+    share = lambda: r.choice([0.0, 0.3, 0.7, 1.0])
+    made = [licenses.Template(f"t{i}", " ".join(pick() for _ in range(r.randrange(1, 30))), r.random() < 0.3, share=share()) for i in range(n)]
+    idf = {x.encode(): i % 97 / 7 for i, x in enumerate(vocabulary)}
+    index, every = licenses.LicenseIndex(made, idf), licenses.LicenseIndex(made, idf)
+    every.rare = {x: list(range(n)) for x in every.postings}
+    hits = 0
+    for _ in range(60):
+        t = r.choice(made).text.split()
+        text = [pick() for _ in range(r.randrange(40))] + [pick() if r.random() < 0.2 else x for x in t] + [pick() for _ in range(r.randrange(10))]
+        w = [x.encode() for x in text]
+        assert index.scan(w) == every.scan(w)
+        hits += len(index.scan(w)) > 0
+    assert hits > 20
+    assert index._lookups({b"none"}) == {} and index.scan([b"none"] * 300) == []
+
+
+def test_few_templates_are_met():
+    """What a file meets grows with the rare words that it has, not with the templates."""
+    made = [licenses.Template(f"t{i}", " ".join([*(f"own{i}x{j}" for j in range(12)), *(f"common{j}" for j in range(20))]), False) for i in range(2000)]
+    idf = {f"common{j}".encode(): 0.1 for j in range(20)} | {x: 5.0 for t in made for x in licenses.words_of(t.text) if x.startswith(b"own")}
+    index = licenses.LicenseIndex(made, idf)
+    assert all(len(x) == 1 for x in index.rare.values()) and not any(x.startswith(b"common") for x in index.rare)
+    w = licenses.words_of(" ".join([*(f"common{j % 20}" for j in range(300)), made[77].text]))
+    assert [made[i].label for i, _, _ in index.scan(w)] == ["t77"]
+
+
 def test_fullest_text():
     """A notice hides the shorter texts within it; two copies in a row are two places; other texts stay."""
     of = {t.label: t for t in licenses.OWN}
