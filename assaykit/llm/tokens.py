@@ -8,6 +8,7 @@ written: the start of a document is its start within its file plus the sum of th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,15 +36,56 @@ def _put(a: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
 
 
 @cache
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """The encoder of this worker process, which keeps what it has learnt from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path) if is_word_bpe(path) else TextEncoder(path)
 
 
-class WordEncoder:
-    """Encodes whole texts with a tokenizer, each distinct word once.
+#: A normalizer and a split for which the ids of a text are those of its words in turn, with end-of-word marks.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
-    For tokenizers that drop white space and split on it first, the ids of a text are those of
+
+def is_word_bpe(path: str) -> bool:
+    """Whether WordEncoder is right for a tokenizer: it is of the one form that it is made for."""
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    model = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    return (
+        form["normalizer"] == WORD_NORMALIZER and form["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": WORD_SPLIT}
+        and form["truncation"] is None and form["padding"] is None and all(form["model"].get(k) == v for k, v in model.items())
+        and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in form["added_tokens"])
+    )
+
+
+class TextEncoder:
+    """Encodes whole texts with any tokenizer of the library, without truncation or padding."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end_id behind it, and the number of them for each text."""
+        end = [] if end_id is None else [end_id]
+        ids = [[*one, *end] for one in self._raw(texts)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
+
+
+class WordEncoder(TextEncoder):
+    """Encodes whole texts with a tokenizer of the form is_word_bpe, each distinct word once.
+
+    Such a one drops white space and splits on it first, so the ids of a text are those of
     its words in turn. Lower-case ASCII words go to the tokenizer's model, which its normalizer and
     byte mapping leave as they are; other letters-only words (one unit of its split) go to it by the
     dozen and are told apart by the end-of-word marks of their last tokens; a full stop or
@@ -52,9 +94,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_of_word: str = "</w>"):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(end_of_word)]] = True
@@ -65,9 +105,6 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _store(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.at)
         self.starts, self.lengths = _put(self.starts, n, self.used + np.cumsum(lengths) - lengths), _put(self.lengths, n, lengths)
@@ -136,7 +173,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
 
     A null or empty text gives end_id alone. A null doc_id sorts first. Repeated ids and
     repeated rows are kept, in order of id and then of a hash of the text. Other columns are not
-    read. An empty table writes an empty one.
+    read. An empty table writes an empty one. tokenizer is a file of the tokenizers library, of any form: word by
+    word where that gives the same ids (is_word_bpe), else by whole texts.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +230,7 @@ def _ids_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of documents as they are read back from files; null, empty and repeated rows as in write_tokens."""
     import public_tokenizers
 
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")

@@ -1,9 +1,11 @@
 """Operators against plain versions of themselves on a small table."""
 
+import json
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -51,6 +53,26 @@ def test_odd_words():
     assert got == [[*Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, 1] for x in odd]
 
 
+def test_other_tokenizers(texts, tmp_path):
+    """A tokenizer of another form encodes whole texts; only the one form goes word by word."""
+    word = public_tokenizers.path("word_bpe_49k.json")
+    assert tokens.is_word_bpe(word) and isinstance(tokens.encoder_of(word), tokens.WordEncoder)
+    form, paths = json.loads(Path(word).read_text()), [public_tokenizers.path("byte_bpe_50k.json")]
+    changes = {"case": {"normalizer": {"type": "NFC"}}, "cut": {"truncation": {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}}, "space": {"pre_tokenizer": form["pre_tokenizer"]["pretokenizers"][1]}}
+    for name, change in changes.items():
+        (tmp_path / name).write_text(json.dumps(form | change))
+        paths.append(str(tmp_path / name))
+    some = ["", " Two  Words\n", "It's A Case, KEPT.", *[t for _, t in texts[:20]]]
+    for path in paths:
+        assert not tokens.is_word_bpe(path)
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        ids, n = tokens.encoder_of(path).encode(some, 7)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 7] for t in some]
+        ids, n = tokens.encoder_of(path).encode([], 7)
+        assert len(ids) == len(n) == 0
+
+
 def test_licenses(spark, texts):
     phrases = [(t.label, t.text.split()) for t in licenses.BASE]
     got = {r.doc_id: r for r in Q.queries()["op4_licenses"](spark, SF).collect()}
