@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import formtext
 from ..functions import normalize as N
-from ..operators import metrics, routing, scoring, stability, usage, worklist
+from ..operators import metrics, routing, scoring, stability, state, usage, worklist
 from ..sources import io, validate
 from ..sources.io import scratch
 from ..sources.schemas import ALL_FIELDS, AMOUNT_FIELDS, CONDITIONS, DATE_FIELDS, EXTRACTION, N_RUNS, SCALAR_FIELDS, TIERS
@@ -402,7 +402,11 @@ def report_values(spark, sf_dir):
     """A value of each row of the report's six tables."""
     truth, runs, scored = fixtures.truth(spark, sf_dir), fixtures.runs(spark, sf_dir).drop("k"), _scored(spark, sf_dir)
     flips, fields = stability.flip_rates(runs), metrics.per_field(scored)
-    tables = routing.report_tables(metrics.headline(scored), fields, metrics.per_tier(scored), flips, stability.condition_summary(truth, runs), routing.build_policy(fields, flips))
+    return _values_of(routing.report_tables(metrics.headline(scored), fields, metrics.per_tier(scored), flips, stability.condition_summary(truth, runs), routing.build_policy(fields, flips)))
+
+
+def _values_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, row, value: a value of each row of the report's tables."""
     shown = {
         "headline": (F.lit(""), "accuracy"), "per_field": (F.col("field"), "accuracy"), "per_tier": (F.col("difficulty_tier"), "accuracy"),
         "flips": (F.concat_ws("|", "condition", "field"), "flip_rate"), "majority": (F.col("condition"), "majority"), "routing": (F.concat_ws("|", "field", "class"), "flip_rate"),
@@ -414,6 +418,19 @@ def report_values(spark, sf_dir):
     return out
 
 
+@query(SQL["report_values"])
+def report_values_of_state(spark, sf_dir):
+    """The report of a state that three batches of documents were merged into, one of them twice, and that was made compact after the second."""
+    path = scratch(spark, "state")
+    truth, runs, pairs = fixtures.truth(spark, sf_dir), fixtures.runs(spark, sf_dir), fixtures.pairs(spark, sf_dir)
+    for batch in (0, 1, 1, 2):
+        part = F.col("k") % 3 == batch
+        cells = state.add(state.accuracy_cells(pairs.where(part)), state.stability_cells(truth.where(part), runs.where(part).drop("k")))
+        if state.save(cells, path, f"b{batch}") and batch == 1:
+            state.compact(spark, path, "b0-b1")
+    return _values_of(state.report_tables(state.load(spark, path)))
+
+
 @query(f"WITH {VOTES}, {FLIPS} SELECT condition, field, round(flip_rate, 3) AS flip_rate, n_docs FROM fl")
 def stability_report(spark, sf_dir):
     """The flip table of the written stability report, read back."""
@@ -454,13 +471,13 @@ _WORK = f"w AS (SELECT 'doc_' || o_orderkey AS doc_id, o_orderkey AS k, conditio
 @query(f"WITH {_WORK} SELECT doc_id, condition, run_index, key FROM w WHERE (k + run_index) % 7 = 0")
 def remaining_work(spark, sf_dir):
     """H1, H2."""
-    return worklist.remaining(worklist.expand(_docs(spark, sf_dir)), _done(spark, sf_dir)).select("doc_id", "condition", "run_index", "key")
+    return worklist.remaining_runs(_docs(spark, sf_dir), worklist.finished(_done(spark, sf_dir)))
 
 
 @query(f"WITH {_WORK} SELECT doc_id, condition, count(*) AS done, {N_RUNS} AS expected, count(*) >= {N_RUNS} AS complete FROM w WHERE (k + run_index) % 7 <> 0 GROUP BY doc_id, condition")
 def run_coverage(spark, sf_dir):
     """H3."""
-    return worklist.coverage(_done(spark, sf_dir))
+    return worklist.coverage(worklist.finished(_done(spark, sf_dir)))
 
 
 @query(f"WITH {_WORK} SELECT key FROM w WHERE (k + run_index) % 7 <> 0")

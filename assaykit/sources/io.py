@@ -32,6 +32,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True) -> DataFrame:
     """doc_id, difficulty_tier, seed, extraction, path of {corpus_dir}/*/ground_truth.json, by path;
     only of documents that have a document.pdf beside it, unless with_pdf is false."""
