@@ -209,7 +209,8 @@ def idf_of(docs: DataFrame, templates: list[Template]) -> dict[bytes, float]:
 def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """doc_id, n_words, places array<struct<label, base, start, n_words, share>> by start, of whole texts.
 
-    A null or empty text has no words and no places. Repeated rows are scanned each.
+    A null or empty text has no words and no places. Repeated rows are scanned each. An empty table gives no row, and all
+    words then have an IDF of 0. Other columns are not read, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     templates = [*BASE, *OWN] if templates is None else templates
@@ -231,6 +232,8 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> D
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
+    """Labels, places of the base phrases and score of every document: a row for each row; a null or empty text has no words,
+    no labels (empty strings), a null first and last word and score 0; no documents give no row; other columns are not read."""
     scanned = scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
     starts = F.transform(base, lambda p: p["start"])

@@ -290,6 +290,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
+    """Words kept of every document, as a digest; nulls, empty and repeated rows, ties and other columns as in remove_repeats."""
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 

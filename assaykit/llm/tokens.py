@@ -240,4 +240,5 @@ def token_digest(docs: DataFrame) -> DataFrame:
 
 
 def op7_token_orc(spark, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written and read back: token_digest of documents."""
     return token_digest(table(spark, sf_dir, "documents"))

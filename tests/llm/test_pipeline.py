@@ -73,3 +73,31 @@ def test_run(spark):
             start += len(row)
     got = Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want and len(want) > 20
+
+
+def tables_of(tmp_path, **wheres):
+    """A folder of the tables' rows where the conditions say so (documents: a query)."""
+    for name in ("documents", "labels", "benchmark"):
+        rows = wheres.get(name, f"select * from '{SF}/{name}.parquet' where false")
+        duckdb.sql(f"copy ({rows}) to '{tmp_path}/{name}.parquet' (format parquet)")
+    return str(tmp_path)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    got = corpus_pipeline.run(spark, tables_of(tmp_path))
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.collect() == []
+
+
+def test_run_on_nulls(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, a column more, and no benchmark: what is kept lies end to end, once for each copy taken."""
+    every = f"select * from '{SF}/documents.parquet'"
+    nulls = {c: f"select * replace (null as {c}) from '{SF}/documents.parquet' where doc_id % 9 = {i}" for i, c in enumerate(("doc_id", "text", "source", "lang"))}
+    empty = f"select * replace ('' as text, -doc_id as doc_id) from '{SF}/documents.parquet' where doc_id % 30 = 7"
+    rows = " union all ".join([every, *nulls.values(), empty, f"{every} where doc_id % 5 = 1"])
+    sf_dir = tables_of(tmp_path, documents=f"select *, 'x' as \"a.b\" from ({rows})", labels=f"select * from '{SF}/labels.parquet'")
+    got = sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: (r.start, r.n_tokens))
+    assert len(got) > 20 and all(r.n_tokens >= 1 for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+    most = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got)
+    assert max(n for (i, _, _), n in most.items() if i is not None and i > 0) <= 2  # of copies one stays, and is taken twice at most
