@@ -38,16 +38,16 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True) -> DataFrame:
-    """doc_id, difficulty_tier, seed, extraction, path of {corpus_dir}/*/ground_truth.json, by path;
-    only of documents that have a document.pdf beside it, unless with_pdf is false."""
+def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True, in_order: bool = True) -> DataFrame:
+    """doc_id, difficulty_tier, seed, extraction, path of {corpus_dir}/*/ground_truth.json; only of documents that
+    have a document.pdf beside it, unless with_pdf is false. By path, which costs a sort of the whole corpus, unless in_order is false."""
     truth = spark.read.schema(TRUTH).option("multiLine", True).option("pathGlobFilter", "ground_truth.json").option("recursiveFileLookup", True).json(corpus_dir)
     truth = truth.select("*", F.col("_metadata.file_path").alias("path"))
     if with_pdf:
         parent = lambda c: F.regexp_replace(F.regexp_replace(c, r"/[^/]*\z", ""), r"\A[a-z]+:/*", "/")
         pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "document.pdf").option("recursiveFileLookup", True).load(corpus_dir)
         truth = truth.withColumn("dir", parent(F.col("path"))).join(pdfs.select(parent(F.col("path")).alias("dir")), "dir", "left_semi").drop("dir")
-    return truth.orderBy("path")
+    return truth.orderBy("path") if in_order else truth
 
 
 def load_manifest(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ def test_corpus(spark, tmp_path):
     corpus = str(tmp_path / "corpus")
     assert [r.doc_id for r in io.load_truth(spark, corpus).collect()] == ["a"]
     assert [r.doc_id for r in io.load_truth(spark, corpus, with_pdf=False).collect()] == ["a", "b"]
+    unordered = io.load_truth(spark, corpus, with_pdf=False, in_order=False)
+    assert {r.doc_id for r in unordered.collect()} == {"a", "b"} and "Sort" not in unordered._jdf.queryExecution().optimizedPlan().toString()
     (tmp_path / "manifest.json").write_text('[{"doc_id": "a"}, {"doc_id": "b"}]')
     assert io.load_manifest(spark, str(tmp_path / "manifest.json"), "doc_id string").count() == 2
     preds = tmp_path / "preds"
