@@ -35,6 +35,8 @@ M = BANDS * ROWS
 NEAR = 0.65
 #: Members of a bucket in one block of comparisons.
 CHUNK = 256
+#: Nodes of the components that a task joins at once.
+FOREST = 100_000
 #: Pairs that one copy of a representative's sketch or text is joined with; of more it is dealt out in copies.
 PART = 512
 
@@ -165,14 +167,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], batch.schema.field(0).type) for k in (0, 1)], names=["a", "b"])
 
 
-def _with(pairs: DataFrame, side: str, values: DataFrame, name: str, narrow: DataFrame) -> DataFrame:
+def _hot(pairs: DataFrame, side: str) -> DataFrame:
+    """Representatives of more than PART of the pairs on this side, and the copies of each: one for every PART pairs."""
+    hot = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    return written(hot.select(F.col(side).alias("hot"), F.ceil(F.col("n") / PART).cast("int").alias("parts")), "near-hot")
+
+
+def _with(pairs: DataFrame, side: str, values: DataFrame, name: str, hot: DataFrame) -> DataFrame:
     """pairs with the column name of values (rep, name) for the representative on this side.
 
-    Representatives of very many pairs are dealt out: their values are copied, one copy for every
-    PART pairs, which are counted in narrow, a written table of the pairs' (a, b).
+    Representatives of very many pairs are dealt out: their values are copied, as often as hot (of _hot, of
+    these pairs or of more) says.
     """
-    hot = narrow.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    hot = written(hot.select(F.col(side).alias("hot"), F.ceil(F.col("n") / PART).cast("int").alias("parts")), "near-hot")
     parts = F.coalesce("parts", F.lit(1))
     salt = F.pmod(F.xxhash64("a", "b"), parts.cast("long")).cast("int")
     dealt = pairs.join(hot, F.col(side) == F.col("hot"), "left").withColumn("part", salt).drop("hot", "parts")
@@ -188,8 +194,7 @@ def _texts(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and text of the representatives in ids (rep), as a written table."""
     sought = written(ids.distinct().join(reps.select("rep", "digest", "first_id", "n_rows"), "rep"), "near-sought")
     # ids alone are few bytes, so more of them can be broadcast; texts that are not sought stay where they are
-    some = written(sought.select("first_id").distinct(), "near-ids")
-    rows = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("of", _digest())
+    rows = docs.select("doc_id", "text").join(sought.select("first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("of", _digest())
     found = rows.join(sought, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = found.where("n_rows = 1").select("rep", "text")
     if not sought.where("n_rows > 1").isEmpty():  # rows of one id and text
@@ -197,12 +202,36 @@ def _texts(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(texts, "near-texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of representatives, a written table, whose texts are similar enough, as another."""
+def _verified(pairs: DataFrame, hot: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of representatives, a written table with one pair for each b, whose texts are
+    similar enough, as another. hot has the a of very many pairs (see _hot)."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, reps)
-    both = _with(pairs, "b", texts, "text", pairs).withColumnRenamed("text", "text_b")
-    both = _with(both, "a", texts, "text", pairs).select("a", "b", "text", "text_b")
-    return written(both.mapInArrow(_verify, "a long, b long").distinct(), "near-links")
+    both = pairs.join(texts, F.col("b") == F.col("rep")).select("a", "b", F.col("text").alias("text_b"))
+    both = _with(both, "a", texts, "text", hot).select("a", "b", "text", "text_b")
+    return written(both.mapInArrow(_verify, "a long, b long"), "near-links")
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to the least b from all others that the edges of one task bring together, FOREST nodes at a time."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def out() -> pa.RecordBatch:
+        rows = [(x, r) for x in list(up) if (r := root(x)) != x]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        if len(up) > FOREST:
+            yield out()
+    yield out()
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -213,17 +242,16 @@ def _are_stars(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root): every linked id and the least id of its component; rounds of large and small stars until
-    all is stars. links are read several times."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """(id, root): every linked id and the least id of its component. Each task joins what its own links
+    bring together; rounds of large and small stars join the rest, until all is stars."""
+    # a > b in all edges
+    edges = written(links.select("a", "b").mapInArrow(_forests, "a long, b long").distinct(), "stars")
     while not _are_stars(edges):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
-        large = both.join(written(least, "stars"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), "stars")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = written(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "stars")
-        small = down.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = written(edges.join(written(least, "stars"), F.col("b") == F.col("u")).select("a", F.col("m").alias("b")), "stars")
+        low = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "stars")
+        small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
         edges = written(small.where("a <> b").distinct(), "stars")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
@@ -270,7 +298,7 @@ def _members(group: list[tuple]) -> list[tuple]:
 
 
 def _links(group: list[tuple]) -> list[tuple]:
-    """Verified links (a, b) that join the members' classes within the block; group has their texts too.
+    """Verified links (a, b) of the members' classes within the block; group has their texts too.
     Classes that a link has joined are one from then on: more links between them would say nothing new."""
     bags, joined, out = _Bags([r[8] for r in group]), {}, []
 
@@ -284,8 +312,7 @@ def _links(group: list[tuple]) -> list[tuple]:
             s, t = root(group[k][5]), root(group[x][5])
             if s != t and similarity(bags[k], bags[x]) >= THRESHOLD:
                 joined[max(s, t)] = min(s, t)
-                a, b = group[k][4], group[x][4]
-                out.append((min(a, b), max(a, b)))
+                out.append((min(s, t), max(s, t)))
     return out
 
 
@@ -341,9 +368,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def linked(stars: DataFrame) -> DataFrame:
         """Verified links among one pair (a, b) for each b."""
         stars = written(stars.select("a", "b"), "near-stars")
+        hot = _hot(stars, "a")
         half = stars.join(sketches, F.col("b") == F.col("rep")).select("a", "b", F.col("sketch").alias("sb"))
-        near = _with(half, "a", sketches, "sketch", stars).select("a", "b", "sketch", "sb").mapInArrow(_near_pairs, "a long, b long")
-        return _verified(written(near, "near-pairs"), docs, reps)
+        near = _with(half, "a", sketches, "sketch", hot).select("a", "b", "sketch", "sb").mapInArrow(_near_pairs, "a long, b long")
+        near = written(near, "near-pairs")
+        return near if near.isEmpty() else _verified(near, hot, docs, reps)
 
     def name_classes(roots: DataFrame) -> DataFrame:
         named = members.join(roots, members["rep"] == roots["id"], "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
@@ -381,7 +410,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = written(near, "near-blocks")
         whole = _texts(near.select("rep"), docs, reps).join(sketched, "rep").withColumnRenamed("rep", "text_of")
         texts = near.join(whole, F.col("rep") == F.col("text_of")).select("key", "i", "j", "part", "rep", "class", "sketch", "keys", "text")
-        joined(written(dealt(texts).mapInArrow(_by_block(_links, ["a", "b"]), "a long, b long").distinct(), "near-links"))
+        of_classes = components(written(dealt(texts).mapInArrow(_by_block(_links, ["a", "b"]), "a long, b long"), "near-links"))
+        above = of_classes.select(F.col("id").alias("below"), F.col("root").alias("above"))
+        roots = roots.join(above, F.col("root") == F.col("below"), "left").select("id", F.coalesce("above", "root").alias("root")).union(of_classes)
+        roots = written(roots, "near-roots")
     grown = roots.select("id", "root").union(roots.select("root", "root")).distinct()
     inside = grown.join(reps.select("rep", "digest", "first_id"), F.col("id") == F.col("rep"))
     order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("digest").alias("class_key"))

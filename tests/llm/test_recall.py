@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 
 from assaykit.llm import minhash
 
@@ -51,3 +52,18 @@ def test_components(spark):
         seen = {x for e in some for x in e}
         assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in seen if find(x) != x)
     assert minhash.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_components_in_a_task(spark, monkeypatch):
+    """What one task's links bring together needs no rounds: each writes three tables and shuffles them."""
+    names, write = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name, keep=False: names.append(name) or write(df, name, keep))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").coalesce(1)
+    assert {(r.id, r.root) for r in minhash.components(chain).collect()} == {(i, 0) for i in range(1, 301)}
+    assert names == ["stars"]
+
+
+def test_forests_of_few_nodes(monkeypatch):
+    monkeypatch.setattr(minhash, "FOREST", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": [x], "b": [y]}) for x, y in ((9, 8), (8, 7), (7, 5), (5, 9), (3, 3), (6, 9))]
+    assert [sorted(zip(*b.to_pydict().values())) for b in minhash._forests(iter(batches))] == [[(7, 5), (8, 5), (9, 5)], [(6, 5), (9, 5)], []]
