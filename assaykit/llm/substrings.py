@@ -19,16 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, written
-from .minhash import _FACTORS, _mix, word_hashes
+from .minhash import _BASE, _FACTORS, _INVERSE, _mix, _powers, word_hashes
 
 WINDOW, GRAM = 13, 4
 #: Documents with one anchor, from which on its windows are dealt out one by one.
@@ -37,9 +39,13 @@ HOT = 4096
 SHARD_WORDS = 1_500_000
 
 
-def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, anchor) of all runs, in order."""
-    doc, words = word_hashes(texts)
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def _runs(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, anchor) of all runs, in order. Of the words' texts and hashes; windows
+    are counted through all texts, as words are."""
     n = len(words) - GRAM + 1
     if len(words) < WINDOW:
         return (np.zeros(0, np.int64),) * 4
@@ -58,8 +64,47 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = least[at]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(at) != 1)])) if len(at) else at
     first = at[new]
-    base = np.searchsorted(doc, np.arange(len(texts)))
-    return doc[first], first - base[doc[first]], np.diff(np.append(new, len(at))), gram[place[new]].view(np.int64)
+    return doc[first], first, np.diff(np.append(new, len(at))), gram[place[new]].view(np.int64)
+
+
+def _run_keys(words: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Hashes of the runs' words, whose hashes are given."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)), dtype=np.uint64)]) if len(words) else np.zeros(1, np.uint64)
+    size = windows + WINDOW - 1
+    return _mix((sums[first + size] - sums[first]) * _powers(_INVERSE, len(words) + 1)[first] + size.astype(np.uint64)).view(np.int64)
+
+
+def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """(row, field, ...) of all structs in a column of lists; null lists count as empty."""
+    flat = column.flatten()
+    rows = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return rows, *(flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
+def _look_up(rows: np.ndarray, keys: np.ndarray, in_rows: np.ndarray, in_keys: np.ndarray) -> np.ndarray:
+    """The place of each (row, key) among the others, which are distinct, or -1."""
+    if not len(in_keys):
+        return np.full(len(keys), -1)
+    known = np.unique(in_keys)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    pairs = in_rows * len(known) + np.searchsorted(known, in_keys)
+    order = np.argsort(pairs)
+    sought = rows * len(known) + at
+    found = order[np.minimum(np.searchsorted(pairs, sought, sorter=order), len(order) - 1)]
+    return np.where((known[at] == keys) & (pairs[found] == sought), found, -1)
+
+
+def _repeated(doc: np.ndarray, words: np.ndarray, anchors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, anchor, hot) of the runs whose anchor is among the text's repeated
+    ones (those and whether they are hot). Hot ones come window by window."""
+    text, first, windows, anchor = _runs(doc, words)
+    in_text, known, hot = _lists(anchors, "anchor", "hot")
+    at = _look_up(text, anchor, in_text, known)
+    text, first, windows, anchor, at = (x[at >= 0] for x in (text, first, windows, anchor, at))
+    hot = hot[at].astype(bool)
+    copies = np.where(hot, windows, 1)
+    first = np.repeat(first, copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+    return np.repeat(text, copies), first, np.repeat(np.where(hot, 1, windows), copies), np.repeat(anchor, copies), np.repeat(hot, copies)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +112,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             piece = batch.slice(at, 128)
-            doc, _, _, anchor = _runs([(t or "").encode() for t in piece.column(1).to_pylist()])
+            doc, _, _, anchor = _runs(*word_hashes(_bytes(piece.column(1))))
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -78,39 +123,24 @@ def _key(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content) - (1 << 63)
 
 
-def _repeated_runs(texts: list[bytes], anchors: list) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(text, first window, windows, route, content) of runs whose anchor is among the text's
-    repeated ones (those and whether they are hot, as two lists). Hot ones come window by window."""
-    doc, first, count, anchor = _runs(texts)
-    ends = np.searchsorted(doc, np.arange(len(texts)), "right")
-    begin = 0
-    for d, end in enumerate(ends):
-        if anchors[d]:
-            look = {x["anchor"]: x["hot"] for x in anchors[d]}
-            words = texts[d].split()
-            for a, n, key in zip(first[begin:end].tolist(), count[begin:end].tolist(), anchor[begin:end].tolist(), strict=True):
-                hot = look.get(key)
-                if hot is None:
-                    continue
-                if hot:
-                    for i in range(a, a + n):
-                        content = b" ".join(words[i : i + WINDOW])
-                        yield d, i, 1, _key(content), content
-                else:
-                    yield d, a, n, key, b" ".join(words[a : a + n + WINDOW - 1])
-        begin = end
-
-
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, content, doc_id) of each repeated run; route is its anchor, or of a hot one its window's key."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             piece = batch.slice(at, 128)
-            texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
-            rows = list(_repeated_runs(texts, piece.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.binary()), piece.column(0).take(pa.array([r[0] for r in rows], pa.int64()))],
-                names=["route", "content", "doc_id"],
-            )
+            texts = _bytes(piece.column(1))
+            doc, words = word_hashes(texts)
+            text, first, windows, anchor, hot = _repeated(doc, words, piece.column(2))
+            plain, place = [w for t in texts for w in t.split()], first.tolist()
+            contents = [b" ".join(plain[a:b]) for a, b in zip(place, (first + windows + WINDOW - 1).tolist(), strict=True)]
+            anchor = anchor.copy()
+            for i in np.flatnonzero(hot).tolist():
+                anchor[i] = _key(contents[i])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(contents, pa.binary()), piece.column(0).take(pa.array(text, pa.int64()))], names=["route", "content", "doc_id"])
+
+
+#: The bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
@@ -134,7 +164,7 @@ class WaveletMatrix:
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, words, ones, zeros in zip(reversed(range(self.levels)), self.bits, self.ones, self.zeros, strict=True):
             block = at >> 6
-            below = words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            below = words[block] & _BELOW[at & 63]
             one = ones[block] + np.bitwise_count(below)
             at = np.where(symbol >> level & 1, zeros + one, at - one)
         return at
@@ -218,7 +248,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = np.diff(index.starts) - WINDOW
         least = index.stream(index.starts[:-1], windows, index.text)
         bits = ((least >= 0) & (least < docs[:, None])) @ (1 << np.arange(least.shape[1]))
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array([_key(r[1]) for r in rows], pa.int64()), pa.array(bits.astype(np.int64))], names=["doc_id", "run", "earlier"])
+        words = word_hashes([r[1] for r in rows])[1]
+        keys = _run_keys(words, np.cumsum(windows + WINDOW - 1) - (windows + WINDOW - 1), windows)
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), pa.array(bits.astype(np.int64))], names=["doc_id", "run", "earlier"])
 
     rows: list[tuple] = []
     for batch in batches:
@@ -231,17 +263,22 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(rows)
 
 
-def _covered(texts: list[bytes], anchors: list, firsts: list) -> list[np.ndarray]:
-    """For each text, which of its words a repeated window covers."""
-    out = [np.zeros(len(t.split()) + 1, np.int64) for t in texts]
-    look = [{x["run"]: x["earlier"] for x in f or ()} for f in firsts]
-    for d, first, windows, _, content in _repeated_runs(texts, anchors):
-        bits = look[d].get(_key(content), -1)
-        for i in range(windows):
-            if bits >> i & 1:
-                out[d][first + i] += 1
-                out[d][first + i + WINDOW] -= 1
-    return [np.cumsum(x)[:-1] > 0 for x in out]
+def _covered(texts: list[bytes], anchors: pa.ListArray, firsts: pa.ListArray) -> list[np.ndarray | None]:
+    """For each text, which of its words a repeated window covers; None if no window can be."""
+    some = pc.fill_null(pc.list_value_length(anchors), 0).to_pylist()
+    doc, words = word_hashes([t if n else b"" for t, n in zip(texts, some, strict=True)])
+    text, first, windows, _, _ = _repeated(doc, words, anchors)
+    in_text, run, earlier = _lists(firsts, "run", "earlier")
+    at = _look_up(text, _run_keys(words, first, windows), in_text, run)
+    # a run that is not known to be first here has been in an earlier document
+    bits = np.where(at >= 0, earlier[at], -1) if len(earlier) else np.full(len(at), -1)
+    change = np.zeros(len(words) + 1, np.int64)
+    for i in range(int(windows.max(initial=0))):
+        gone = first[(windows > i) & (bits >> i & 1 == 1)] + i
+        change += np.bincount(gone, minlength=len(change)) - np.bincount(gone + WINDOW, minlength=len(change))
+    cover = np.cumsum(change)[:-1] > 0
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    return [cover[a:b] if n else None for a, b, n in zip(bounds, bounds[1:], some, strict=False)]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -278,11 +315,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 piece = batch.slice(at, 128)
-                texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
-                gone = _covered(texts, piece.column(2).to_pylist(), piece.column(3).to_pylist())
-                kept = [b" ".join(t.split()) if not g.any() else b" ".join(w for w, x in zip(t.split(), g.tolist(), strict=True) if not x) for t, g in zip(texts, gone, strict=True)]
+                texts = _bytes(piece.column(1))
+                gone = _covered(texts, piece.column(2), piece.column(3))
+                words = [t.split() for t in texts]
+                removed = [0 if g is None else int(g.sum()) for g in gone]
+                kept = [b" ".join(compress(w, (~g).tolist()) if n else w) for w, g, n in zip(words, gone, removed, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([k.decode() for k in kept])],
+                    [piece.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -203,3 +204,25 @@ def test_trees_walk():
         return 1 / (1 + np.exp(-total))
 
     assert np.allclose([one(r) for r in x[:50]], model.score(x[:50]))
+
+
+def test_covered_words_of_a_batch():
+    """Runs of a batch are found by keys of their words: in texts without anchors, hot and not, first here and not."""
+    w = [f"w{i}" for i in range(40)]
+    texts = [" ".join(x).encode() for x in (w, w[:5], w[3:30], [], ["x"] + w)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([t.decode() for t in texts])], names=["doc_id", "text"])
+    found = [r for b in substrings._anchors(iter([batch])) for r in zip(*b.to_pydict().values(), strict=True)]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("hot", pa.bool_())]))
+    runs = pa.list_(pa.struct([("run", pa.int64()), ("earlier", pa.int64())]))
+    for hot in (False, True):
+        anchors = pa.array([[{"anchor": a, "hot": hot} for a, d in found if d == i] or None for i in range(5)], kind)
+        keys, (doc, words) = [], substrings.word_hashes(texts)
+        text, first, windows, *_ = substrings._repeated(doc, words, anchors)
+        for d, key in zip(text.tolist(), substrings._run_keys(words, first, windows).tolist(), strict=True):
+            keys.append((d, key))
+        assert len(set(keys)) == len(keys)
+        assert not hot or {k for d, k in keys if d == 0} < {k for d, k in keys if d == 4}
+        firsts = pa.array([[{"run": k, "earlier": 0} for d, k in keys if d == i] if i == 0 else None for i in range(5)], runs)
+        gone = substrings._covered(texts, anchors, firsts)
+        assert [g is None for g in gone] == [False, True, False, True, False]
+        assert not gone[0].any() and gone[2].all() and gone[4][1:].all()
