@@ -16,6 +16,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -124,11 +125,11 @@ class WordEncoder(TextEncoder):
     def _learn(self, words: list[str]) -> None:
         marked = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
         units = set(words).difference(marked).union(w[:-1] for w in marked).union(".,")
-        units = sorted(units.difference(self.at))
+        units = list(units.difference(self.at))
         letters = [w for w in units if w.isascii() and w.isalpha() and w.islower()]  # as they are for the model itself
         model = self.tokenizer.model
         self._store_lists(letters, [[t.id for t in model.tokenize(w)] for w in letters])
-        units = sorted(set(units).difference(letters))
+        units = list(set(units).difference(letters))
         plain, odd = [w for w in units if w.isalpha()], [w for w in units if not w.isalpha()]
         ids = self._raw([" ".join(plain[i : i + 50]) for i in range(0, len(plain), 50)])
         flat = np.fromiter(chain.from_iterable(ids), np.int32)
@@ -148,22 +149,28 @@ class WordEncoder(TextEncoder):
             self.clear()
         if "" not in self.at:
             self._store_lists([""], [[] if end_id is None else [end_id]])
-        words, bounds = [], [0]
-        for text in texts:
-            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                key = " " + text  # no word has a space
-                if key not in self.at:
-                    self._store_lists([key], self._raw([text]))
-                words.append(key)
-            else:
-                words += (text.lower() if text.isascii() else text).split()
-            words.append("")
-            bounds.append(len(words))
+            self._store_lists([" "], [[]])  # what stands beside white space at a text's ends
+        marked = [i for i, text in enumerate(texts) if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")]
+        plain = pa.array(texts, pa.string())
+        if marked:
+            plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), marked)), "", plain)
+        parts = pc.utf8_split_whitespace(pc.if_else(pc.string_is_ascii(plain), pc.ascii_lower(plain), plain))
+        coded = parts.flatten().dictionary_encode()
+        words = [w or " " for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing)))
-            at[missing] = [self.at[words[i]] for i in missing]
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [words[i] for i in missing]
+            self._learn(new)
+            at[missing] = [self.at[w] for w in new]
+        ends = np.asarray(parts.offsets)[1:]
+        whole = [" " + texts[i] for i in marked]  # no word has a space
+        for key in whole:
+            if key not in self.at:
+                self._store_lists([key], self._raw([key[1:]]))
+        # each text's words, or itself if it is marked, and the end
+        at = np.insert(at[coded.indices.to_numpy()], np.concatenate([ends[marked], ends]), [*(self.at[k] for k in whole), *[self.at[""]] * len(texts)])
+        bounds = np.concatenate([[0], ends + np.arange(1, len(texts) + 1) + np.cumsum(np.bincount(marked, minlength=len(texts)))])
         ids, n = self._gather(at)
         return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
 

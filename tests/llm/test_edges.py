@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns: every operator."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,26 @@ def test_pipeline_columns(spark, clashing, tmp_path):
         out = stage(spark, clashing, str(tmp_path))
         assert out.columns == clashing.columns, name
         assert out.where("size is not null and size <> 'x'").count() == 0
+
+
+def test_word_encoder_splits_as_the_library(monkeypatch):
+    """Texts of a batch with every white space, at the ends too, marked texts among them, each distinct word looked up once."""
+    import public_tokenizers
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = ["", " ", "A  b\u0085", "<|x|> it's", "\x1ca b", "I\u0307 E\u0301a", "end <|", "K\u212a. x.,"] + [r.choice(spaces).join(["", "Ab", "cd.", "e\u0301F", "1,2", ""]) for _ in range(80)] + [f"a{c}b" for c in spaces]
+    encoder, plain = tokens.WordEncoder(path), tokens.TextEncoder(path)
+    for some in (texts, texts[::-1], texts[:1], [], ["<|x|> it's"]):
+        for got, want in zip(encoder.encode(some, 1), plain.encode(some, 1), strict=True):
+            assert got.tolist() == want.tolist()
+    looked = []
+
+    class Counting(dict):
+        def get(self, key, *other):
+            looked.append(key)
+            return super().get(key, *other)
+
+    encoder.at = Counting(encoder.at)
+    encoder.encode(["again and again " * 50] * 20, 1)
+    assert sorted(looked) == [" ", "again", "and"]
