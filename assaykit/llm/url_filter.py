@@ -1,6 +1,6 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped and probed by binary search.
 
-Entries are strings of host and path, kept apart by a slash, which no host has: they fit their host and its subdomains where the URL's path
+Entries are strings of host and path, kept apart by the path's own slash or, before a path without one, by MARK; no host has either: they fit their host and its subdomains where the URL's path
 starts with the entry's. A URL's candidate entries are its host suffixes (of label counts that
 entries have) with prefixes of its path (of lengths that entries have). Their xxhash64 digests
 are looked up in the sorted array at once, and stored strings confirm each hit.
@@ -9,6 +9,7 @@ are looked up in the sorted array at once, and stored strings confirm each hit.
 from __future__ import annotations
 
 import mmap
+import re
 import struct
 import tempfile
 import uuid
@@ -29,8 +30,8 @@ MAX_ARRAY_BYTES = 64 << 20
 SHARD_BYTES, SALTS = 8 << 20, 8
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-#: Between host and path in stored strings: without it, host example.co with path m would be host example.com.
-MARK = "/"
+#: Before a path that begins with no slash, in stored strings: without it, host example.co with path m would be host example.com.
+MARK = "?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +43,16 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
 
 
+def entry_of(host: str, path: str) -> str:
+    return host + path if path[:1] in ("", "/") else host + MARK + path
+
+
+def host_and_path(entry: str) -> tuple[str, str]:
+    """Those that an entry was made of."""
+    host = re.match("[^/?]*", entry)[0]
+    return host, entry[len(host) :].removeprefix(MARK)
+
+
 class DigestArray:
     """Sorted digests, offsets into the strings, and strings, in one byte sequence."""
 
@@ -58,7 +69,7 @@ class DigestArray:
     @staticmethod
     def pack(entries: Iterable[tuple[str, str]]) -> bytes:
         """entries: host, path."""
-        pairs = sorted({(xxhash.xxh64_intdigest(h + MARK + p), (h + MARK + p).encode(), len(h.split(".")), len(p)) for h, p in entries})
+        pairs = sorted({(xxhash.xxh64_intdigest(entry_of(h, p)), entry_of(h, p).encode(), len(h.split(".")), len(p)) for h, p in entries})
         labels, lengths = sorted({x[2] for x in pairs}), sorted({x[3] for x in pairs})
         offsets = np.cumsum([0, *(len(x[1]) for x in pairs)])
         return b"".join([
@@ -91,9 +102,9 @@ class DigestArray:
 
 
 def candidates(host: str, path: str, labels: Iterable[int], lengths: Iterable[int]) -> list[str]:
-    """Host suffixes of the given label counts, each with path prefixes of the given lengths; none of a host with a slash."""
-    parts = host.split(".") if MARK not in host else []
-    return [".".join(parts[len(parts) - n :]) + MARK + path[:m] for n in labels if n <= len(parts) for m in lengths if m <= len(path)]
+    """Host suffixes of the given label counts, each with path prefixes of the given lengths; none of a host with a slash or MARK."""
+    parts = host.split(".") if "/" not in host and MARK not in host else []
+    return [entry_of(".".join(parts[len(parts) - n :]), path[:m]) for n in labels if n <= len(parts) for m in lengths if m <= len(path)]
 
 
 #: Arrays that this Python worker has mapped, by the lookup they belong to; the oldest goes first.
@@ -112,11 +123,11 @@ def longest_match(urls: DataFrame, entries: DataFrame, name: str) -> DataFrame:
     """urls (with host and path) with the column name: the longest entry (host + path) that fits, else null.
 
     entries has host and path. Of the same length the smaller string wins. Nulls in urls' host
-    or path count as empty; entries with a null in either, or a slash in the host, are left out; an empty list fits none.
+    or path count as empty; entries with a null in either, or a slash or question mark in the host, are left out; an empty list fits none.
     Up to MAX_ARRAY_BYTES, entries are one digest array that all executors map; beyond, they are
     one array a range of digests (_sharded), and candidates come to the arrays.
     """
-    entries = entries.select("host", "path").dropna().where(~F.col("host").contains(MARK)).distinct()
+    entries = entries.select("host", "path").dropna().where(~F.col("host").rlike("[/?]")).distinct()
     size = entries.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 24)).first()[0] or 0
     urls = without(urls, name)
     if size > MAX_ARRAY_BYTES:
@@ -128,7 +139,7 @@ def longest_match(urls: DataFrame, entries: DataFrame, name: str) -> DataFrame:
         array = _once_a_worker(key, packed)
         tries = [array.candidates(a or "", b or "") for a, b in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist(), strict=True)]
         hit = iter(array.find([c for t in tries for c in t]).tolist())
-        shown = [[c.replace(MARK, "", 1) for c in t if next(hit)] for t in tries]
+        shown = [["".join(host_and_path(c)) for c in t if next(hit)] for t in tries]
         return [pa.array([min(s, key=lambda c: (-len(c), c), default=None) for s in shown], pa.string())]
 
     return with_arrow(urls, probe, {name: "string"})
@@ -173,7 +184,7 @@ def _sharded(urls: DataFrame, entries: DataFrame, name: str, bits: int) -> DataF
                 if x != place:
                     place, stored, array = x, [], None
                 if not ask:
-                    stored.append(tuple(tries[i].split(MARK, 1)))
+                    stored.append(host_and_path(tries[i]))
                     continue
                 if array is None:
                     array, stored = DigestArray.mapped(DigestArray.pack(stored)), []
@@ -189,13 +200,13 @@ def _sharded(urls: DataFrame, entries: DataFrame, name: str, bits: int) -> DataF
     )
     none = F.lit(None).cast("string")
     arrays = (
-        entries.select(F.concat("host", F.lit(MARK), "path").alias("entry")).distinct().mapInArrow(placed, "entry string, shard long")
+        entries.select(F.concat("host", F.when(~F.col("path").startswith("/") & (F.col("path") != ""), MARK).otherwise(""), "path").alias("entry")).distinct().mapInArrow(placed, "entry string, shard long")
         .select(none.alias("h"), none.alias("p"), "entry", "shard", copies.alias("salt"), F.lit(False).alias("asked"))
     )
     places = max(SALTS << bits, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hits = asked.unionByName(arrays).repartition(places, "shard", "salt").sortWithinPartitions("shard", "salt", "asked").mapInArrow(probe, "h string, p string, entry string")
-    shown = F.regexp_replace("entry", "(?s)^([^/]*)/", "$1")
-    best = hits.groupBy("h", "p").agg(F.min(F.struct((-F.length("entry")).alias("n"), shown.alias("e")))["e"].alias("found")).withColumn("part", copies)
+    shown = F.regexp_replace("entry", r"^([^/?]*)\?", "$1")
+    best = hits.groupBy("h", "p").agg(F.min(F.struct((-F.length(shown)).alias("n"), shown.alias("e")))["e"].alias("found")).withColumn("part", copies)
     plain = urls.toDF(*[f"c{i}" for i in range(len(urls.columns))])
     h, p = (F.coalesce(F.col(f"c{position(urls, c)}"), F.lit("")) for c in ("host", "path"))
     rows = plain.withColumn("own_part", F.spark_partition_id() % SALTS)

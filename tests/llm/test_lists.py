@@ -175,3 +175,11 @@ def test_answer_in_any_case(spark, name):
     docs = spark.createDataFrame([(1, f"{half} is the long river indeed"), (2, f"{half} is not said"), (3, "nothing")], "doc_id long, text string")
     got = {r.doc_id: [m.answer_overlap for m in r.matches] for r in decontamination.benchmark_matches(docs, benchmark).collect()}
     assert got[3] == [] and got[1] == [1.0]
+
+
+def test_entries_are_told_apart():
+    """Host and path come back from a stored string; a path of its own slash is stored as it is."""
+    pairs = [("a.co", "m"), ("a.com", ""), ("a.com", "/"), ("a.com", "//"), ("a.com", "/?x"), ("a.com", "?x"), ("a.com", "??x/"), ("", ""), ("", "/x"), ("", "x"), ("a", "\nx")]
+    entries = [url_filter.entry_of(*p) for p in pairs]
+    assert [url_filter.host_and_path(e) for e in entries] == pairs and len(set(entries)) == len(pairs)
+    assert entries[:3] == ["a.co?m", "a.com", "a.com/"]
