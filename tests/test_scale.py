@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["completed_keys", "run_coverage"])
+@pytest.mark.parametrize("name", ["completed_keys", "remaining_work", "run_coverage"])
 def test_work_lists_are_not_broadcast(spark, name):
     """Orders are few bytes a row, so tables of documents looked small enough to broadcast."""
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, SF))
