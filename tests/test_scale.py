@@ -2,6 +2,7 @@
 
 import pytest
 
+from assaykit.plans import fixtures
 from assaykit.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,14 @@ def plan(df):
 def test_work_lists_are_not_broadcast(spark, name):
     """Orders are few bytes a row, so tables of documents looked small enough to broadcast."""
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, SF))
+
+
+RUNS = ["condition_summary", "flip_rates", "flip_rates_long", "flip_rates_of_complete", "majority_votes", "single_vs_majority", "routing_policy", "routing_counts"]
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_runs_are_neither_stored_nor_shuffled(spark, name):
+    """Documents' runs are ten times their rows: they stay in the buckets of the table that they are made of."""
+    text = plan(Q.QUERIES[name](spark, SF))
+    assert "derived_base" in text and "hashpartitioning(doc_id" not in text and "RoundRobin" not in text
+    assert not any(name == "runs" for _, _, name in fixtures._kept)
