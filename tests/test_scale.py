@@ -1,7 +1,11 @@
 """Plans that hold at size: what passes through the driver, what is shuffled, what is stored."""
 
+import gzip
+
 import pytest
+from pyspark.sql import functions as F
 
+from assaykit.operators import worklist
 from assaykit.plans import fixtures
 from assaykit.plans import queries as Q
 
@@ -18,7 +22,7 @@ def test_work_lists_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, SF))
 
 
-RUNS = ["condition_summary", "flip_rates", "flip_rates_long", "flip_rates_of_complete", "majority_votes", "single_vs_majority", "routing_policy", "routing_counts"]
+RUNS = ["condition_summary", "flip_rates", "flip_rates_long", "flip_rates_of_complete", "majority_votes", "single_vs_majority", "routing_policy", "routing_counts", "results_without_truth", "fallback_predictions"]
 
 
 @pytest.mark.parametrize("name", RUNS)
@@ -27,3 +31,23 @@ def test_runs_are_neither_stored_nor_shuffled(spark, name):
     text = plan(Q.QUERIES[name](spark, SF))
     assert "derived_base" in text and "hashpartitioning(doc_id" not in text and "RoundRobin" not in text
     assert not any(name == "runs" for _, _, name in fixtures._kept)
+
+
+def test_what_is_left_stays_in_its_buckets(spark):
+    """The log's keys come to the work, a row for each document; the work is not shuffled. A null equals nothing."""
+    rows = Q._results(spark, SF)
+    left = worklist.remaining(rows, rows.where("run_index < 3").select("doc_id", "condition", F.col("run_index").cast("long").alias("run_index")))
+    assert "SortMergeJoin" in plan(left) and "hashpartitioning(doc_id" not in plan(left)
+    assert left.count() * 5 == rows.count() * 2
+    work = spark.createDataFrame([("a", "c", 0, 1), ("a", None, 0, 2), (None, "c", 0, 3), ("a", "c", None, 4), ("a", "c", 0, 5), ("b", "c", 1, 6)], "doc_id string, condition string, run_index int, n int")
+    assert sorted(r.n for r in worklist.remaining(work, work.where("n < 5")).collect()) == [2, 3, 4, 6]
+
+
+@pytest.mark.parametrize(("name", "table"), [("result_log", "results"), ("stored_predictions", "predictions")])
+def test_logs_are_packed(spark, tmp_path, monkeypatch, name, table):
+    """Runs of a document stand beside each other and are packed together: a log takes a small part of its lines."""
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    Q.QUERIES[name](spark, SF)
+    files = [*(tmp_path / table).glob("part-*")]
+    lines = sum(len(gzip.open(f).read()) if f.suffix == ".gz" else f.stat().st_size for f in files)
+    assert files and sum(f.stat().st_size for f in files) * 4 < lines
