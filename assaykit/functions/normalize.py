@@ -135,7 +135,8 @@ def normalize_amount(c: Column | str) -> Column:
 
     bare = F.regexp_replace(F.regexp_replace(strip(raw), rf"(?U)[$€£]{_SPACE}*", ""), ",", "")
     slow = let(F.regexp_replace(F.lower(strip(bare)), " ", ""), amount)
-    return F.when(raw.rlike(r"\A\d+\z"), raw.try_cast("double")).when(raw.isNotNull(), slow)
+    written = F.regexp_replace(raw, "[$,]", "").try_cast("double")
+    return F.when(raw.rlike(r"\A\d+\z"), raw.try_cast("double")).when(raw.rlike(r"\A\$?\d[\d,]*(?:\.\d+)?\z"), written).when(raw.isNotNull(), slow)
 
 
 def normalize_int(c: Column | str) -> Column:

@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.functions import formtext
 from assaykit.operators import worklist
 from assaykit.plans import fixtures
 from assaykit.plans import queries as Q
@@ -51,3 +52,11 @@ def test_logs_are_packed(spark, tmp_path, monkeypatch, name, table):
     files = [*(tmp_path / table).glob("part-*")]
     lines = sum(len(gzip.open(f).read()) if f.suffix == ".gz" else f.stat().st_size for f in files)
     assert files and sum(f.stat().st_size for f in files) * 4 < lines
+
+
+def test_forms_are_searched_once_for_each_layout(spark):
+    text = spark.createDataFrame([("Deductible    5",)], "text string").select(formtext.label_value(F.col("text"), "Deductible").alias("v"), formtext.loss_rows(F.col("text")).alias("l"))
+    found = text._jdf.queryExecution().optimizedPlan().toString().split(" AS ")
+    assert [found[0].count(f"regexp_extract(text#{found[0].split('text#')[1].split(',')[0].split(')')[0]}, {layout.format(label='Deductible')}") for layout in formtext.LABEL_LAYOUTS] == [1, 1, 1]
+    assert found[1].count("regexp_extract_all(") == 1
+    assert text.first().v == "5"
