@@ -755,8 +755,9 @@ def corpus_files(spark, sf_dir):
     preds = people.where("c_custkey % 4 <> 0").select(F.concat(F.lit("predictions/"), "id", F.lit(".json")).alias("path"), predicted.alias("content"))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")), {"pretty": "true"}).alias("content"))
     _save_files(records.union(pdfs).union(preds).union(nations.select(F.lit("manifest.json").alias("path"), "content")), root)
-    truth, found = io.load_truth(spark, f"{root}/docs", in_order=False), io.load_predictions(spark, f"{root}/predictions").withColumnRenamed("extraction", "pred")
+    truth = io.load_truth(spark, f"{root}/docs", in_order=False, in_tasks=True)
+    found = io.load_predictions(spark, f"{root}/predictions", in_tasks=True).withColumnRenamed("extraction", "pred")
     manifest = io.load_manifest(spark, f"{root}/manifest.json", "n_nationkey int, n_name string")
     nation = people.select(F.col("id").alias("doc_id"), "c_nationkey")
-    joined = truth.join(found, "doc_id", "left").join(nation, "doc_id").join(manifest, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = truth.join(found.hint("merge"), "doc_id", "left").join(nation.hint("merge"), "doc_id").join(F.broadcast(manifest), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select("doc_id", "extraction.named_insured", "seed", F.col("n_name").alias("manifest_name"), "pred.year_built")

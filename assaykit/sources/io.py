@@ -6,10 +6,13 @@ them as a table. Writers here make partitioned files, not one a document.
 
 from __future__ import annotations
 
+import fnmatch
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +41,69 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True, in_order: bool = True) -> DataFrame:
+def small_files(spark: SparkSession, root: str, name: str, beside: str | None = None) -> DataFrame:
+    """path, content (bytes), beside (whether a file of that name stands in the same folder) of the files below root whose name fits the pattern.
+
+    Spark's readers list all files in the driver, which millions fill. Here a task lists the root's own entries, and others go
+    through what is below them and read it, so the driver holds no names. Of file systems that pyarrow opens; hidden names are passed over, as Spark does.
+    """
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    seen = lambda path: not path.rsplit("/", 1)[1].startswith((".", "_"))
+
+    def entries(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = fs.get_file_info(pafs.FileSelector(base)) if batch.num_rows else []
+            for at in range(0, len(found), 10_000):
+                some = [x for x in found[at : at + 10_000] if seen(x.path)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in some], pa.string()), pa.array([x.type == pafs.FileType.Directory for x in some], pa.bool_())], names=["path", "folder"])
+
+    def files(fs, path, folder):
+        if not folder:
+            yield path
+            return
+        for x in fs.get_file_info(pafs.FileSelector(path)):
+            if seen(x.path):
+                yield from files(fs, x.path, x.type == pafs.FileType.Directory)
+
+    def read(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_()))], names=["path", "content", "beside"])
+        rows, size = [], 0
+        for batch in batches:
+            for entry, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for path in files(fs, entry, folder):
+                    above, own = path.rsplit("/", 1)
+                    if not fnmatch.fnmatchcase(own, name):
+                        continue
+                    with fs.open_input_stream(path, compression=None) as f:
+                        content = f.read()
+                    with_it = beside is not None and fs.get_file_info(f"{above}/{beside}").type == pafs.FileType.File
+                    rows.append((root.rstrip("/") + path[len(base.rstrip("/")) :], content, with_it))
+                    size += len(content)
+                    if len(rows) == 1000 or size > 16_000_000:
+                        yield made(rows)
+                        rows, size = [], 0
+        yield made(rows)
+
+    dealt = spark.range(0, 1, 1, 1).mapInArrow(entries, "path string, folder boolean").repartition(parts)
+    return dealt.mapInArrow(read, "path string, content binary, beside boolean")
+
+
+def _records(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """The files' columns and record: the JSON object of each, or those of its array; nulls for what is none."""
+    parsed = F.from_json(F.col("content").cast("string"), T.ArrayType(schema))
+    return files.where(F.length("content") > 0).withColumn("record", F.explode_outer(parsed))
+
+
+def load_truth(spark: SparkSession, corpus_dir: str, with_pdf: bool = True, in_order: bool = True, in_tasks: bool = False) -> DataFrame:
     """doc_id, difficulty_tier, seed, extraction, path of {corpus_dir}/*/ground_truth.json; only of documents that
-    have a document.pdf beside it, unless with_pdf is false. By path, which costs a sort of the whole corpus, unless in_order is false."""
+    have a document.pdf beside it, unless with_pdf is false. By path, which costs a sort of the whole corpus, unless in_order is false.
+    Files are listed by Spark, in the driver, or in_tasks (see small_files)."""
+    if in_tasks:
+        files = _records(small_files(spark, corpus_dir, "ground_truth.json", "document.pdf"), TRUTH)
+        truth = (files.where("beside") if with_pdf else files).select("record.*", "path")
+        return truth.orderBy("path") if in_order else truth
     truth = spark.read.schema(TRUTH).option("multiLine", True).option("pathGlobFilter", "ground_truth.json").option("recursiveFileLookup", True).json(corpus_dir)
     truth = truth.select("*", F.col("_metadata.file_path").alias("path"))
     if with_pdf:
@@ -56,8 +119,11 @@ def load_manifest(spark: SparkSession, path: str, schema: T.StructType | str | N
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def load_predictions(spark: SparkSession, pred_dir: str) -> DataFrame:
-    """doc_id (from the file name), extraction of {pred_dir}/*.json. Pairing with the truth is an inner join."""
+def load_predictions(spark: SparkSession, pred_dir: str, in_tasks: bool = False) -> DataFrame:
+    """doc_id (from the file name), extraction of {pred_dir}/*.json, listed as in load_truth. Pairing with the truth is an inner join."""
+    if in_tasks:
+        preds = _records(small_files(spark, pred_dir, "*.json"), EXTRACTION).where(~F.substring("path", F.lit(len(pred_dir.rstrip("/")) + 2), F.length("path")).contains("/"))
+        return preds.select(F.regexp_extract("path", r"([^/]*)\.json\z", 1).alias("doc_id"), F.struct(*[F.col(f"record.{f}").alias(f) for f in EXTRACTION.names]).alias("extraction"))
     preds = spark.read.schema(EXTRACTION).option("multiLine", True).option("pathGlobFilter", "*.json").json(pred_dir)
     return preds.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "").alias("doc_id"), F.struct(*EXTRACTION.names).alias("extraction"))
 

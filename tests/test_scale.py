@@ -9,6 +9,7 @@ from assaykit.functions import formtext
 from assaykit.operators import worklist
 from assaykit.plans import fixtures
 from assaykit.plans import queries as Q
+from assaykit.sources import io
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,34 @@ def test_forms_are_searched_once_for_each_layout(spark):
     assert [found[0].count(f"regexp_extract(text#{found[0].split('text#')[1].split(',')[0].split(')')[0]}, {layout.format(label='Deductible')}") for layout in formtext.LABEL_LAYOUTS] == [1, 1, 1]
     assert found[1].count("regexp_extract_all(") == 1
     assert text.first().v == "5"
+
+
+def test_small_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """Both ways of listing give the same corpus; in tasks, the driver's plan holds no files."""
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    for i in ("a", "b", "deep/c", "_hidden/d"):
+        put(f"docs/{i}/ground_truth.json", '{\n "doc_id": "%s", "seed": 1, "extraction": {"named_insured": "Ä", "effective_date": "2024-01-02", "loss_history": []}}' % i)
+    for i in ("a", "deep/c", "_hidden/d"):
+        put(f"docs/{i}/document.pdf", "%PDF-1.4")
+    put("docs/b/notes.txt", "x")
+    put("preds/a.json", '{"year_built": 1984}')
+    put("preds/b.json", '[{"year_built": 1}, {"year_built": 2}]')
+    put("preds/e.json", "")
+    put("preds/f.txt", "{}")
+    put("preds/sub/g.json", '{"year_built": 5}')
+    docs, preds = f"file://{tmp_path}/docs", f"file://{tmp_path}/preds"
+    for with_pdf in (True, False):
+        slow, fast = (io.load_truth(spark, docs, with_pdf, in_tasks=t).drop("path") for t in (False, True))
+        assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()] and fast.count() == (2 if with_pdf else 3)
+    slow, fast = (io.load_predictions(spark, preds, in_tasks=t) for t in (False, True))
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert fast.count() == 3
+
+
+def test_a_corpus_passes_by_the_driver(spark):
+    text = plan(Q.QUERIES["corpus_files"](spark, SF))
+    assert "binaryFile" not in text and text.count("MapInArrow") >= 4 and "/docs" not in text
+    assert text.count("BroadcastExchange") == 1  # the manifest
