@@ -45,7 +45,7 @@ def test_what_is_left_stays_in_its_buckets(spark):
     assert sorted(r.n for r in worklist.remaining(work, work.where("n < 5")).collect()) == [2, 3, 4, 6]
 
 
-@pytest.mark.parametrize(("name", "table"), [("result_log", "results"), ("stored_predictions", "predictions")])
+@pytest.mark.parametrize(("name", "table"), [("result_log", "results"), ("stored_predictions", "predictions"), ("streamed_results", "log")])
 def test_logs_are_packed(spark, tmp_path, monkeypatch, name, table):
     """Runs of a document stand beside each other and are packed together: a log takes a small part of its lines."""
     monkeypatch.setattr(Q, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
