@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import formtext
-from assaykit.operators import worklist
+from assaykit.operators import stability, worklist
 from assaykit.plans import fixtures
 from assaykit.plans import queries as Q
 from assaykit.sources import io
+from assaykit.sources.schemas import RAW_EXTRACTION
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +93,12 @@ def test_a_corpus_passes_by_the_driver(spark):
     text = plan(Q.QUERIES["corpus_files"](spark, SF))
     assert "binaryFile" not in text and text.count("MapInArrow") >= 4 and "/docs" not in text
     assert text.count("BroadcastExchange") == 1  # the manifest
+
+
+def test_zeros_agree(spark):
+    """Runs that differ in the sign of a zero don't flip: sets of doubles tell the two apart."""
+    kind = RAW_EXTRACTION.simpleString()
+    rows = spark.createDataFrame([("d", "c", i, {"deductible": v}) for i, v in enumerate(["-0", "0"])], "doc_id string, condition string, run_index int, p map<string,string>")
+    runs = rows.select("doc_id", "condition", "run_index", F.from_json(F.to_json("p"), kind).alias("pred"))
+    for rates in (stability.flip_rates, stability.flips_long):
+        assert {r.field: r.flip_rate for r in rates(runs, 2).collect()}["deductible"] == 0.0
